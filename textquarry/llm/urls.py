@@ -85,7 +85,7 @@ def may_have(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 def listed_urls(spark) -> DataFrame:
     hosts, paths = spark.createDataFrame([(h,) for h in LISTED_HOSTS], "h string"), F.array(*map(F.lit, LISTED_PATHS))
-    return hosts.select(F.concat(F.lit("http://"), "h", F.explode(paths)).alias("url"))
+    return hosts.select("h", F.explode(paths).alias("p")).select(F.concat(F.lit("http://"), "h", "p").alias("url"))
 
 
 def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]] = RULES, most_bytes: int = MOST_BYTES, url: str = "url", key: str = "page_id", listed_url: str = "url") -> DataFrame:
