@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import posixpath
 import tempfile
 import uuid
@@ -28,6 +29,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files that led here
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -46,7 +49,7 @@ def open_new(uri: str):
     """A stream that writes the file at uri; its folder is made where the store has folders."""
     store, path = file_system(uri)
     store.create_dir(posixpath.dirname(path), recursive=True)
-    return store.open_output_stream(path)
+    return store.open_output_stream(path, compression=None)
 
 
 def open_old(uri: str):
