@@ -205,7 +205,8 @@ def check_packed(rows, capacity):
 def test_packing_places_every_piece(spark, docs):
     out = packing.pack_documents(docs, vocabulary(), 512).toPandas()
     check_packed(out, 512)
-    assert out["sequence_id"].nunique() == -(-out["length"].sum() // 512)
+    fit = packing._best_fit(np.bincount(out["length"], minlength=513).astype("int64"), 512)
+    assert -(-out["length"].sum() // 512) <= out["sequence_id"].nunique() <= sum(p.copies for p in fit)
     ids = {d: word_ids(vocabulary()).ids(t) + b"\1\0\0\0" for d, t in docs.select("doc_id", "text").collect()}
     for d, own in out.sort_values("start").groupby("doc_id"):
         assert list(own["piece"]) == list(range(len(own))) and own["length"].sum() * 4 == len(ids[d])

@@ -137,7 +137,7 @@ class Reader:
                     ids, at = unpack_block(data, at)
                     out.append(ids)
                 have, at_block = np.concatenate(out), until
-                parts.append(have)
+                parts.append(have[max(0, start - base) :])
             ids = np.concatenate(parts) if len(parts) > 1 else parts[0]
             yield doc, ids[: end - start]
 
