@@ -28,7 +28,7 @@ CHUNK = 1 << 22
 #: A minimizer found more often than this is split by a second one.
 HOT = 2000
 #: Bytes of whole buckets that are sorted together, about.
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 64 << 10
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -80,20 +80,28 @@ def segments(data: np.ndarray, length: int = LENGTH, k: int = K, seed: int = 0)
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """The places sorted by their next symbols, at least depth of them, by prefix doubling."""
-    n = len(symbols)
-    wide = np.concatenate([symbols, np.zeros(3, symbols.dtype)]).astype("int64")
-    key = ((wide[:n] * 258 + wide[1 : n + 1]) * 258 + wide[2 : n + 2]) * 258 + wide[3 : n + 3]
-    size = 4
+    """The places sorted by their next symbols, at least depth of them, by prefix doubling; what is alone is not sorted again."""
+    n, size = len(symbols), 7
+    wide = np.concatenate([symbols, np.zeros(size, symbols.dtype)]).astype("int64")
+    key = np.zeros(n, "int64")
+    for i in range(size):
+        key = key * 258 + wide[i : n + i]
+    order = np.argsort(key)
+    slots, place, sorted_key = np.arange(n), order, key[order]
+    rank = np.empty(n, "int64")
     while True:
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, "int64")
-        rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]]))
-        if size >= depth or rank[order[-1]] == n - 1:
+        head = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
+        group = slots[np.flatnonzero(head)][np.cumsum(head) - 1]  # the first slot of those that are equal so far
+        rank[place] = group
+        alone = head & np.append(head[1:], True)
+        if size >= depth or alone.all():
             return order
-        key = rank * (n + 1)
-        key[: n - size] += rank[size:] + 1
+        slots, place, group = slots[~alone], place[~alone], group[~alone]
+        after = place + size
+        key = group * (n + 1) + np.where(after < n, rank[np.minimum(after, n - 1)] + 1, 0)
+        own = np.argsort(key)
+        sorted_key, place = key[own], place[own]
+        order[slots] = place
         size *= 2
 
 
@@ -112,13 +120,14 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     rows = np.flatnonzero(~first)
     to, since = by_symbol[rows], by_symbol[rows - 1]
     for _ in range(length - 1):
-        seen = np.cumsum(fresh)
-        hit = seen[to] > seen[since]
+        seen = np.cumsum(fresh, dtype="int32")
+        hit = seen.take(to) > seen.take(since)
         if not hit.any():
             break
         fresh = np.zeros(n, bool)
         fresh[rows[hit]] = True
-        rows, to, since = rows[~hit], to[~hit], since[~hit]
+        rest = np.flatnonzero(~hit)
+        rows, to, since = rows.take(rest), to.take(rest), since.take(rest)
     out = np.zeros(n, bool)
     out[rows] = True
     return out
@@ -127,7 +136,7 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
     """For each part, whether the window at each of its places stands anywhere else in the parts."""
     sizes = np.array([len(p) for p in parts])
-    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype("int32") + 1
+    symbols = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype("uint16") + np.uint16(1)
     ends = np.cumsum(sizes + 1) - 1
     symbols[ends] = 0  # no window that is looked at reaches one
     order = suffix_order(symbols, length)
