@@ -29,6 +29,8 @@ CHUNK = 1 << 22
 HOT = 2000
 #: Bytes of whole buckets that are sorted together, about.
 BATCH_BYTES = 64 << 10
+#: Where more than one in so many rows is new, all rows are looked at; else only the intervals of the new ones.
+DENSE = 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,21 +118,41 @@ def short_prefixes(symbols: np.ndarray, order: np.ndarray, length: int) -> np.nd
     before = symbols[order - 1]  # the transform; place 0 has the last symbol before it
     by_symbol = np.argsort(before, kind="stable")  # row i of the sorted suffixes prepends to row by_symbol[i]
     first = np.concatenate([[True], before[by_symbol[1:]] != before[by_symbol[:-1]]])
-    fresh = first.copy()  # rows that begin with another symbol share 0
-    rows = np.flatnonzero(~first)
-    to, since = by_symbol[rows], by_symbol[rows - 1]
+    since = np.concatenate([[0], by_symbol[:-1]])
+    lead = np.zeros(n + 1, "int64")  # the row that prepends to a row
+    lead[by_symbol] = np.arange(n)
+    unset = np.append(~first, False)
+    fresh = np.flatnonzero(first)  # rows that begin with another symbol share 0
     for _ in range(length - 1):
-        seen = np.cumsum(fresh, dtype="int32")
-        hit = seen.take(to) > seen.take(since)
-        if not hit.any():
+        if len(fresh) * DENSE > n:
+            mark = np.zeros(n, "int32")
+            mark[fresh] = 1
+            seen, rows = np.cumsum(mark, dtype="int32"), np.flatnonzero(unset)
+            fresh = rows[seen.take(by_symbol.take(rows)) > seen.take(since.take(rows))]
+        else:
+            fresh = _extended(fresh, lead, since, unset)
+        if not len(fresh):
             break
-        fresh = np.zeros(n, bool)
-        fresh[rows[hit]] = True
-        rest = np.flatnonzero(~hit)
-        rows, to, since = rows.take(rest), to.take(rest), since.take(rest)
-    out = np.zeros(n, bool)
-    out[rows] = True
-    return out
+        unset[fresh] = False
+    return unset[:n]
+
+
+def _extended(fresh: np.ndarray, lead: np.ndarray, since: np.ndarray, unset: np.ndarray) -> np.ndarray:
+    """The unset rows that prepend a symbol to an interval that begins at a fresh row, the first with that symbol.
+
+    An interval goes on as long as rows are unset. It is looked at a window at a time, each twice as wide.
+    """
+    rows = lead.take(fresh)
+    out = [rows[unset.take(rows) & (since.take(rows) < fresh)]]
+    start, at, width = fresh, fresh + 1, 1
+    while len(start):
+        span = np.minimum(at[:, None] + np.arange(width), len(since))
+        inside = np.logical_and.accumulate(unset.take(span), axis=1)
+        rows = lead.take(span)
+        out.append(rows[inside & unset.take(rows) & (since.take(rows) < start[:, None])])
+        more = inside[:, -1]
+        start, at, width = start[more], at[more] + width, 2 * width
+    return np.concatenate(out)
 
 
 def repeated_windows(parts: list[bytes], length: int = LENGTH) -> list[np.ndarray]:
