@@ -16,6 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,6 +29,9 @@ BLOCK = 1024
 PERCENTILE = 90
 #: Ids in one file at most, but for a longer document.
 FILE_IDS = 1 << 25
+#: Rows whose texts and ids are Python objects at a time.
+ROWS = 512
+_FILES = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 _HEAD = struct.Struct("<IHHB")  # least id, ids, exceptions, width
 _END = struct.Struct("<QQQ8s")  # blocks, documents, start of the tables
 
@@ -154,17 +158,16 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     rows = rows.withColumn("tie", F.xxhash64("text"))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 
-    def write(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, seq, out, to = word_ids(path), TaskContext.get().partitionId(), 0, None, ""
         made = []
         for batch in batches:
-            keys = [None if pd.isna(x) else int(x) for x in batch["doc_id"]]
-            texts = batch["text"].tolist()
-            for i in range(0, len(texts), 512):
+            for i in range(0, batch.num_rows, ROWS):
+                keys, texts = (batch.column(name).slice(i, ROWS).to_pylist() for name in ("doc_id", "text"))
                 if out is None:
                     to = f"{folder}/part-{part:06d}-{seq:04d}-{uuid.uuid4().hex}.tqpf"
                     out = Writer(shared.open_new(to))
-                out.add(keys[i : i + 512], [encoder.ids(x) + end for x in texts[i : i + 512]])
+                out.add(keys, [encoder.ids(x) + end for x in texts])
                 if out.n_ids >= file_ids:
                     out.close()
                     made.append((part, seq, to, out.n_docs, out.n_ids))
@@ -172,10 +175,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
         if out is not None:
             out.close()
             made.append((part, seq, to, out.n_docs, out.n_ids))
-        yield pd.DataFrame(made, columns=["part", "seq", "path", "n_docs", "n_ids"])
+        yield pa.RecordBatch.from_pylist([dict(zip(_FILES.names, row, strict=True)) for row in made], _FILES)
 
     dealt = rows.repartitionByRange(F.col("doc_id"), F.col("tie")).sortWithinPartitions("doc_id", "tie")
-    return shared.materialize(dealt.select("doc_id", "text").mapInPandas(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-files")
+    return shared.materialize(dealt.select("doc_id", "text").mapInArrow(write, "part int, seq int, path string, n_docs long, n_ids long"), "token-files")
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
