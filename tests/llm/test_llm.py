@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from textquarry.llm import decontamination, jaccard, licenses, packing, quality, registry, secrets, shared, substrings, token_files, urls, warc
-from textquarry.llm.tokens import vocabulary, word_ids
+from textquarry.llm.tokens import WordIds, vocabulary, word_ids
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (None, "null key here"), (4, "same row"), (4, "same row"), (5, "x" * 300_000), (6, "é" * 50 + " \x1c\x85  <|endoftext|> Straße ŉ 中文 á")]
 NAMES = ["n_words", "kept", "spans", "content", "hash", "key", "sig", "path", "start"]
@@ -142,6 +142,19 @@ def test_ids_like_the_library():
         assert np.frombuffer(word_ids(vocabulary()).ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+PARTS = ["a", "B", "é", "ß", "µ", "'s", "'", "'RE", "<", "<s>", ">", "1", "²", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u0301", "İ", "漢", "😀", "\u200d", "×", "\xad", "...", "the", "\x00", "\ufeff"]
+
+
+@given(st.lists(st.lists(st.sampled_from(PARTS), max_size=25).map("".join), max_size=20))
+@settings(max_examples=60, deadline=None)
+def test_ids_with_few_words_kept(texts):
+    from tokenizers import Tokenizer
+
+    whole, few = Tokenizer.from_file(vocabulary()), WordIds(vocabulary(), 3)
+    for text in texts:
+        assert np.frombuffer(few.ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=token_files.BLOCK), st.integers(0, 100))
 @settings(max_examples=80, deadline=None)
 def test_blocks_round_trip(ids, percentile):

@@ -2,7 +2,7 @@
 
 The vocabulary here drops white space before it splits, so a text's ids are its words' ids in a row. Each worker keeps
 the ids of recent short words, as bytes, up to a bound; a word of plain Latin-1 letters, digits and marks goes straight to the
-vocabulary's merge model, any other word through the whole tokenizer.
+vocabulary's merge model piece by piece, any other word through the whole tokenizer.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from array import array
 
-#: Words kept by a worker: two generations of this many at most.
+#: Words and pieces kept by a worker: two generations of this many at most.
 KEPT = 300_000
 LONGEST = 48
 
@@ -31,56 +31,49 @@ def _byte_letters() -> dict[int, str]:
     return table
 
 
+class _Kept(dict):
+    """Ids of recent words and of the pieces of words; makes what it doesn't hold."""
+
+    def __init__(self, make, at_most: int):
+        self._make, self._at_most, self._old = make, at_most, {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self._old.get(word)
+        if ids is None:
+            ids = self._make(word)
+        if len(word) <= LONGEST:
+            if len(self) >= self._at_most:
+                self._old = dict(self)
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class WordIds:
     """ids(text): the text's ids as little-endian unsigned 32-bit integers in a row."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
         self._whole = Tokenizer.from_file(path)
         self._merge = self._whole.model.tokenize
         self._letters = _byte_letters()
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        self._get = _Kept(self._encode, kept).__getitem__
 
     def _encode(self, word: str) -> bytes:
         if not _PLAIN.fullmatch(word):  # < may start a special token
             return array("I", self._whole.encode(word, add_special_tokens=False).ids).tobytes()
-        out = b""
-        for piece in _PIECE.findall(word.lower()):
-            ids = self._pieces.get(piece)
-            if ids is None:
-                shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self._letters)
-                ids = array("I", [t.id for t in self._merge(shown)]).tobytes()
-                if len(piece) <= LONGEST:
-                    if len(self._pieces) >= KEPT:
-                        self._pieces.clear()
-                    self._pieces[piece] = ids
-            out += ids
-        return out
-
-    def _miss(self, word: str) -> bytes:
-        ids = self._old.get(word)
-        if ids is None:
-            ids = self._encode(word)
-        if len(word) <= LONGEST:
-            if len(self._new) >= KEPT:
-                self._old, self._new = self._new, {}
-            self._new[word] = ids
-        return ids
+        pieces = _PIECE.findall(word.lower())
+        if pieces != [word]:
+            return b"".join(map(self._get, pieces))
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self._letters)
+        return array("I", [t.id for t in self._merge(shown)]).tobytes()
 
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
         words = text.split() if not _ODD.search(text) else [w for w in re.split("[ \t\n\r]+", text) if w]
-        get, miss = self._new.get, self._miss
-        found = list(map(get, words))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    found[i] = miss(words[i])
-        return b"".join(found)
+        return b"".join(map(self._get, words))
 
 
 _BY_PATH: dict[str, WordIds] = {}
