@@ -26,6 +26,8 @@ from .tokens import vocabulary, word_ids
 
 MAGIC = b"TQPF0001"
 BLOCK = 1024
+#: Blocks packed together.
+AT_ONCE = 64
 PERCENTILE = 90
 #: Ids in one file at most, but for a longer document.
 FILE_IDS = 1 << 25
@@ -36,31 +38,58 @@ _HEAD = struct.Struct("<IHHB")  # least id, ids, exceptions, width
 _END = struct.Struct("<QQQ8s")  # blocks, documents, start of the tables
 
 
+def pack_blocks(ids: np.ndarray, percentile: float = PERCENTILE) -> list[bytes]:
+    """A block for each row of unsigned 32-bit ids; a row has 1 to BLOCK of them."""
+    rows, n = ids.shape
+    least = ids.min(axis=1, keepdims=True)
+    far = (ids - least).astype("<u4")
+    bits = np.frexp(far.astype(np.float64))[1]
+    counts = np.bincount((bits + 33 * np.arange(rows)[:, None]).ravel(), minlength=33 * rows).reshape(rows, 33)
+    widths = (np.cumsum(counts, axis=1) <= math.ceil(percentile / 100 * (n - 1))).sum(axis=1)  # the percentile, the higher of two
+    out = [b""] * rows
+    for width in np.unique(widths).tolist():
+        same = np.flatnonzero(widths == width)
+        low = np.unpackbits(far[same].view(np.uint8).reshape(len(same), n, 4)[:, :, : (width + 7) // 8], axis=2, bitorder="little")
+        for row, packed in zip(same.tolist(), np.packbits(low[:, :, :width].reshape(len(same), -1), axis=1, bitorder="little"), strict=True):
+            odd = np.flatnonzero(bits[row] > width).astype("<u2")
+            high = (far[row, odd].astype("<u8") >> np.uint64(width)).astype("<u4")
+            out[row] = _HEAD.pack(int(least[row, 0]), n, len(odd), width) + packed.tobytes() + odd.tobytes() + high.tobytes()
+    return out
+
+
 def pack_block(ids: np.ndarray, percentile: float = PERCENTILE) -> bytes:
-    """1 to BLOCK unsigned 32-bit ids as a block."""
-    least = int(ids.min())
-    far = (ids - np.uint32(least)).astype(np.uint32)
-    bits = np.ceil(np.log2(far.astype(np.float64) + 1)).astype(np.uint8)
-    width = int(np.searchsorted(np.cumsum(np.bincount(bits)), math.ceil(percentile / 100 * (len(ids) - 1)), "right"))  # the percentile, the higher of two
-    odd = np.flatnonzero(bits > width).astype("<u2")
-    low = np.unpackbits(far.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-    return _HEAD.pack(least, len(ids), len(odd), width) + np.packbits(low, bitorder="little").tobytes() + odd.tobytes() + (far[odd].astype("<u8") >> np.uint64(width)).astype("<u4").tobytes()
+    return pack_blocks(ids[None], percentile)[0]
+
+
+def unpack_blocks(data: bytes, at: int = 0, most: int | None = None) -> tuple[np.ndarray, int]:
+    """The ids of the blocks from this place on, and the place after them."""
+    heads = []
+    while at < len(data) and (most is None or len(heads) < most):
+        least, n, odd, width = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
+        heads.append((at, n, width, least, odd))
+        at += (n * width + 7) // 8 + 6 * odd
+    if not heads:
+        return np.zeros(0, "<u4"), at
+    found = np.array(heads, np.int64)
+    ends = np.cumsum(found[:, 1])
+    out = np.zeros(ends[-1], "<u4")
+    eight = np.ndarray(len(data) + 1, "<u8", data + bytes(8), strides=(1,))  # the 8 bytes from each byte on
+    for n, width in {head[1:3] for head in heads}:
+        same = np.flatnonzero((found[:, 1] == n) & (found[:, 2] == width))
+        size, bit = (n * width + 7) // 8, np.arange(n) * width
+        far = (eight[found[same, 0][:, None] + (bit >> 3)] >> (bit & 7).astype("<u8") & np.uint64((1 << width) - 1)).astype("<u4")
+        for block, ids in zip(same.tolist(), far, strict=True):
+            start, _, _, least, odd = heads[block]
+            where = np.frombuffer(data, "<u2", odd, start + size)
+            ids[where] |= np.frombuffer(data, "<u4", odd, start + size + 2 * odd) << np.uint32(width % 32)  # at 32 bits there is none
+            out[ends[block] - n : ends[block]] = ids + np.uint32(least)
+    return out, at
 
 
 def unpack_block(data: bytes, at: int = 0) -> tuple[np.ndarray, int]:
     """The ids of the block at this place, and the place after it."""
-    least, n, odd, width = _HEAD.unpack_from(data, at)
-    at += _HEAD.size
-    size = (n * width + 7) // 8
-    bits = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width, bitorder="little").reshape(n, width)
-    far = np.zeros((n, 4), np.uint8)
-    far[:, : (width + 7) // 8] = np.packbits(bits, axis=1, bitorder="little")
-    out = far.view("<u4").ravel().astype(np.uint64)
-    at += size
-    where = np.frombuffer(data, "<u2", odd, at)
-    at += 2 * odd
-    out[where] |= np.frombuffer(data, "<u4", odd, at).astype(np.uint64) << np.uint64(width)
-    return (out + np.uint64(least)).astype("<u4"), at + 4 * odd
+    return unpack_blocks(data, at, 1)
 
 
 class Writer:
@@ -73,11 +102,11 @@ class Writer:
         self._blocks, self._docs, self._known, self._counts = [], [], [], []
         self.n_ids = 0
 
-    def _block(self, ids: np.ndarray) -> None:
-        data = pack_block(ids, self._percentile)
-        self._blocks.append(self._at)
-        self._out.write(data)
-        self._at += len(data)
+    def _write(self, ids: np.ndarray) -> None:
+        for data in pack_blocks(ids, self._percentile):
+            self._blocks.append(self._at)
+            self._out.write(data)
+            self._at += len(data)
 
     def add(self, docs: list[int | None], ids: list[bytes]) -> None:
         self._docs += [0 if x is None else x for x in docs]
@@ -86,8 +115,8 @@ class Writer:
         rest = np.concatenate([self._rest, np.frombuffer(b"".join(ids), "<u4")])
         self.n_ids += len(rest) - len(self._rest)
         whole = len(rest) - len(rest) % BLOCK
-        for i in range(0, whole, BLOCK):
-            self._block(rest[i : i + BLOCK])
+        for i in range(0, whole, AT_ONCE * BLOCK):
+            self._write(rest[i : min(i + AT_ONCE * BLOCK, whole)].reshape(-1, BLOCK))
         self._rest = rest[whole:].copy()
 
     @property
@@ -96,7 +125,7 @@ class Writer:
 
     def close(self) -> None:
         if len(self._rest):
-            self._block(self._rest)
+            self._write(self._rest[None])
         for column, kind in ((self._blocks, "<u8"), (self._docs, "<i8"), (self._known, "<u1"), (self._counts, "<u8")):
             self._out.write(np.array(column, kind).tobytes())
         self._out.write(_END.pack(len(self._blocks), len(self._docs), self._at, MAGIC))
@@ -137,11 +166,7 @@ class Reader:
                 until = min(at_block + step, len(self.blocks))
                 lo, hi = int(self.blocks[at_block]), int(self.blocks[until]) if until < len(self.blocks) else self._tables
                 self._file.seek(lo)
-                data, at, out = self._file.read(hi - lo), 0, []
-                while at < len(data):
-                    ids, at = unpack_block(data, at)
-                    out.append(ids)
-                have, at_block = np.concatenate(out), until
+                have, at_block = unpack_blocks(self._file.read(hi - lo))[0], until
                 parts.append(have[max(0, start - base) :])
             ids = np.concatenate(parts) if len(parts) > 1 else parts[0]
             yield doc, ids[: end - start]
