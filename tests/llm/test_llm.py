@@ -116,6 +116,22 @@ def test_frequent_lines_reject_all_but_the_first(spark):
     assert quality.quality_rules(copies).filter("kept").count() == 80  # copies are one text
 
 
+def test_frequent_lines_leave_the_texts(spark):
+    import corpus_pipeline
+
+    line, words = "Page  7 of this host\tsays nothing", lambda i: "\n".join(" ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10] + "uvw"[n] + "x" * k for k in range(12)) for n in range(3))
+    texts = {i: f"{line}\n\n{words(i)}\n{line.upper().replace('7', str(i))}\n" for i in range(4)} | {4: words(4), 5: f"{line}\nshort", 6: None}
+    rows = spark.createDataFrame([(i, t, "a", 0) for i, t in texts.items()] + [(1, texts[1], "a", 0), (9, texts[3], "b", 0)], "doc_id long, text string, source string, n_chars long")
+    want = {0: texts[0], 4: texts[4], 9: texts[3]} | {i: "\n".join(x for x in texts[i].split("\n") if "of this host" not in x.lower()) for i in (1, 2, 3)}
+    got = quality.keep_good(rows, most=3).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in got) == sorted([*want.items(), (1, want[1])])
+    out = quality.quality_rules(rows, most=3).collect()
+    assert {r["doc_id"]: r["text"] for r in out if r["kept"]} == want and {r["doc_id"]: r["text"] for r in out if not r["kept"]} == {5: "short", 6: None}
+    many = spark.createDataFrame([(i, f"{line}\n{words(i)}", "a", 0) for i in range(60)], "doc_id long, text string, source string, n_chars long")
+    staged = {r["doc_id"]: r for r in corpus_pipeline.quality_rules(spark, many, "").collect()}
+    assert len(staged) == 60 and all(staged[i]["text"] == (f"{line}\n" if i == 0 else "") + words(i) and staged[i]["n_chars"] == len(staged[i]["text"]) for i in range(60))
+
+
 # Licenses
 
 

@@ -48,15 +48,20 @@ def text_counts(rows: DataFrame) -> DataFrame:
 
 
 def normal_lines(text: Column) -> Column:
-    """The lines that have a word: lower case, each run of digits as 0, white space as one space."""
+    """The lines that have a word, as structs of x (lower case, each run of digits as 0, white space as one space) and at (its place among all lines)."""
     flat = F.regexp_replace(F.regexp_replace(F.lower(text), "[0-9]+", "0"), r"[\x20\x09\x0B-\x0D]+", " ")
-    return F.filter(F.transform(F.split(flat, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
+    return F.filter(F.transform(F.split(flat, "\n", -1), lambda x, i: F.struct(F.trim(x).alias("x"), i.alias("at"))), lambda s: s["x"] != "")
+
+
+def without_lines(text: Column, places: Column) -> Column:
+    """The text without its lines at these places."""
+    return F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(places, i)), "\n")
 
 
 def _lines(rows: DataFrame) -> DataFrame:
-    """A row for each line: doc_id, content, host, line (its hash), words."""
-    one = F.explode(F.transform(normal_lines(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("line"), F.size(F.split(x, " ")).alias("words"))))
-    return rows.select("doc_id", "content", "host", one.alias("x")).select("doc_id", "content", "host", "x.line", "x.words")
+    """A row for each line: doc_id, content, host, line (its hash), words, at (its place)."""
+    one = F.explode(F.transform(normal_lines(F.col("text")), lambda s: F.struct(F.xxhash64(s["x"]).alias("line"), F.size(F.split(s["x"], " ")).alias("words"), s["at"].alias("at"))))
+    return rows.select("doc_id", "content", "host", one.alias("x")).select("doc_id", "content", "host", "x.line", "x.words", "x.at")
 
 
 def frequent_lines(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
@@ -71,7 +76,7 @@ def frequent_lines(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
 
 
 def removed_words(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
-    """doc_id, content, removed (words in lines above the limit) of the documents that have such lines.
+    """doc_id, content, removed (words in lines above the limit), places (of these lines) of the documents that have such lines.
 
     The frequent lines are a table of their own, so that Spark may broadcast it after a look at its size, and otherwise splits
     the partition of a line that is in a large share of the documents.
@@ -79,12 +84,24 @@ def removed_words(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
     frequent = frequent_lines(rows, most)
     lines = _lines(rows)
     hits = lines.join(frequent, lines["host"].eqNullSafe(frequent["host"]) & (lines["line"] == frequent["line"]) & ~lines["doc_id"].eqNullSafe(frequent["first"]))
-    by_row = hits.select(lines["doc_id"], lines["content"], lines["words"])
-    return by_row.groupBy("doc_id", "content").agg(F.sum("words").alias("removed"))
+    by_row = hits.select(lines["doc_id"], lines["content"], lines["words"], lines["at"])
+    return by_row.groupBy("doc_id", "content").agg(F.sum("words").alias("removed"), F.collect_set("at").alias("places"))
+
+
+def _verdicts(docs: DataFrame, most: int, least_words: int, least_share: float, text: str, key: str, host: str) -> DataFrame:
+    """What quality_rules returns, with the rows' own text and the places of the lines that go (null if none goes)."""
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("host"))
+    rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = removed_words(rows, most).withColumnsRenamed({"doc_id": "_d", "content": "_c"})
+    counted = text_counts(rows.select("doc_id", "content", F.col("text").alias("own"), "text"))
+    out = counted.join(gone, counted["doc_id"].eqNullSafe(gone["_d"]) & (counted["content"] == gone["_c"]), "left").drop("_d", "_c")
+    left = F.col("n_words") - F.least(F.coalesce("removed", F.lit(0)), F.col("n_words"))
+    kept = ~F.col("base_failed") & (left >= least_words) & (100 * left >= round(100 * least_share) * F.col("n_words"))
+    return out.withColumn("kept", kept).withColumn("removed_words", F.col("n_words") - left).drop("removed")
 
 
 def quality_rules(docs: DataFrame, most: int = MOST_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
-    """One row for each row: doc_id, content (a hash of the text), the counts of text_counts, removed_words and kept.
+    """One row for each row: doc_id, content (a hash of the text), text (without its frequent lines), the counts of text_counts (of the whole text), removed_words and kept.
 
     Lines that stand in more than most different documents of a host are removed, but for the least doc_id that has the line;
     a document is kept if it passes the base rules and enough of its words remain. A null text counts as empty, so it fails; a
@@ -92,25 +109,24 @@ def quality_rules(docs: DataFrame, most: int = MOST_DOCUMENTS, least_words: int
     as one document and share a verdict; words of their lines are then summed over them, against the sum of their words. Other
     columns are left out, and an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(host).cast("string").alias("host"))
-    rows = rows.withColumn("content", F.xxhash64(F.coalesce("text", F.lit(""))))
-    gone = removed_words(rows, most).withColumnsRenamed({"doc_id": "_d", "content": "_c"})
-    counted = text_counts(rows.select("doc_id", "content", "text"))
-    out = counted.join(gone, counted["doc_id"].eqNullSafe(gone["_d"]) & (counted["content"] == gone["_c"]), "left").drop("_d", "_c")
-    left = F.col("n_words") - F.least(F.coalesce("removed", F.lit(0)), F.col("n_words"))
-    kept = ~F.col("base_failed") & (left >= least_words) & (100 * left >= round(100 * least_share) * F.col("n_words"))
-    return out.withColumn("kept", kept).withColumn("removed_words", F.col("n_words") - left).drop("removed")
+    out = _verdicts(docs, most, least_words, least_share, text, key, host)
+    clean = F.when(F.col("places").isNull(), F.col("own")).otherwise(without_lines(F.col("own"), F.col("places")))
+    return out.withColumn("text", clean).drop("own", "places")
 
 
-def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns."""
-    verdicts = quality_rules(docs, **options).filter("not kept").select(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).distinct()
-    bad = materialize(verdicts, "rejected")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["_c"]), "left_anti")
+def keep_good(docs: DataFrame, most: int = MOST_DOCUMENTS, least_words: int = LEAST_WORDS, least_share: float = LEAST_SHARE, text: str = "text", key: str = "doc_id", host: str = "source") -> DataFrame:
+    """The rows of docs that the rules keep, with their columns, and without the frequent lines in their texts."""
+    verdicts = _verdicts(docs, most, least_words, least_share, text, key, host).filter(~F.col("kept") | F.col("places").isNotNull())
+    verdicts = verdicts.groupBy(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.first("kept").alias("_kept"), F.first("places").alias("_places"))
+    found = materialize(verdicts, "changed-or-rejected")
+    content = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+    joined = docs.join(found, docs[key].eqNullSafe(found["_d"]) & (content == found["_c"]), "left").filter(F.coalesce("_kept", F.lit(True)))
+    clean = F.when(F.col("_places").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_places")))
+    return joined.withColumn(text, clean).select(*docs.columns)
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
-    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("content")
+    return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("content", "text")
 
 
 def oracle_op4() -> str:
