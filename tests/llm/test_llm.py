@@ -132,6 +132,13 @@ def test_frequent_lines_leave_the_texts(spark):
     assert len(staged) == 60 and all(staged[i]["text"] == (f"{line}\n" if i == 0 else "") + words(i) and staged[i]["n_chars"] == len(staged[i]["text"]) for i in range(60))
 
 
+def test_copies_of_a_row_count_their_lines_once(spark):
+    line = "this one line stands on every page of the host and says nothing at all"
+    rows = [(i, f"{line}\nword{i}", "a") for i in range(60)] + [(k, f"{line}\n" + " ".join(f"w{i}" for i in range(25)), "a") for k in (70, 70, 70, None, None)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("n_words = 40").collect()
+    assert [(r["kept"], r["removed_words"]) for r in out] == [(True, 15)] * 5
+
+
 # Licenses
 
 

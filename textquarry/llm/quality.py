@@ -84,8 +84,9 @@ def removed_words(rows: DataFrame, most: int = MOST_DOCUMENTS) -> DataFrame:
     frequent = frequent_lines(rows, most)
     lines = _lines(rows)
     hits = lines.join(frequent, lines["host"].eqNullSafe(frequent["host"]) & (lines["line"] == frequent["line"]) & ~lines["doc_id"].eqNullSafe(frequent["first"]))
-    by_row = hits.select(lines["doc_id"], lines["content"], lines["words"], lines["at"])
-    return by_row.groupBy("doc_id", "content").agg(F.sum("words").alias("removed"), F.collect_set("at").alias("places"))
+    one = F.struct(lines["at"], lines["words"]).alias("one")  # copies of a row have the same, so a set has each line once
+    by_row = hits.select(lines["doc_id"], lines["content"], one).groupBy("doc_id", "content").agg(F.collect_set("one").alias("all"))
+    return by_row.select("doc_id", "content", F.aggregate("all", F.lit(0).cast("long"), lambda n, s: n + s["words"]).alias("removed"), F.transform("all", lambda s: s["at"]).alias("places"))
 
 
 def _verdicts(docs: DataFrame, most: int, least_words: int, least_share: float, text: str, key: str, host: str) -> DataFrame:
@@ -106,8 +107,8 @@ def quality_rules(docs: DataFrame, most: int = MOST_DOCUMENTS, least_words: int
     Lines that stand in more than most different documents of a host are removed, but for the least doc_id that has the line;
     a document is kept if it passes the base rules and enough of its words remain. A null text counts as empty, so it fails; a
     null host is a host of its own; rows with a null doc_id keep no line as the first. Rows that repeat a doc_id and text count
-    as one document and share a verdict; words of their lines are then summed over them, against the sum of their words. Other
-    columns are left out, and an empty table gives no rows.
+    as one document and share a verdict, and the words of their lines count once. Other columns are left out, and an empty table
+    gives no rows.
     """
     out = _verdicts(docs, most, least_words, least_share, text, key, host)
     clean = F.when(F.col("places").isNull(), F.col("own")).otherwise(without_lines(F.col("own"), F.col("places")))
