@@ -343,6 +343,14 @@ def test_links_by_force(spark, monkeypatch):
     assert max(x[1] for x in want.values()) > 5
 
 
+def test_runs_of_one_family_stay_apart(spark, monkeypatch):
+    """All members of this family meet in several runs; the children that the first of these gives part its two variants."""
+    monkeypatch.setattr(jaccard, "LARGE", 4)
+    texts = {i: " ".join([f"c16x{k}" for k in range(100)] + [f"{'ab'[i % 2]}16y{k}" for k in range(8)] + [f"o16z{i}"]) for i in range(8)}
+    out = jaccard.jaccard_join(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in out} == jaccard.brute_force(texts) == {i: (0, 7, 1) for i in range(8)}
+
+
 def test_recall_of_runs():
     assert jaccard.runs_for(0.9999) > jaccard.runs_for(0.99) > 1
     assert (1 - jaccard.THRESHOLD * (1 - jaccard.missed(jaccard.DEPTH - 1))) ** jaccard.runs_for(0.9999) <= 1e-4

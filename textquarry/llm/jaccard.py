@@ -100,10 +100,19 @@ def _children(keys: Iterable[int], children: int = CHILDREN) -> np.ndarray:
     return _mix(wide + np.tile(np.arange(1, children + 1, dtype="uint64"), len(wide) // children))
 
 
-def _buckets(rows: DataFrame) -> DataFrame:
-    """key, n of the buckets with two members or more; of buckets with the same members, one."""
+def _buckets(rows: DataFrame, most: int) -> DataFrame:
+    """key, n of the buckets with two members or more; of buckets with the same members that are compared (most or fewer), one.
+
+    Larger ones are only split, and each gives children of its own: runs stay independent, as the recall assumes.
+    """
     sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).filter("n > 1")
-    return materialize(sums.groupBy("n", "x", "y").agg(F.min("key").alias("_key")).select("_key", "n"), "buckets")
+    apart = F.when(F.col("n") > most, F.col("key")).alias("apart")
+    return materialize(sums.groupBy("n", "x", "y", apart).agg(F.min("key").alias("_key")).select("_key", "n"), "buckets")
+
+
+def _most(depth: int) -> int:
+    """The members up to which a bucket is compared after so many samples."""
+    return LARGE if depth < 2 else (SHIP if depth < DEPTH else 1 << 62)
 
 
 def compare(sets: list[np.ndarray], other: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -234,7 +243,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "content")).alias("at"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     paths = classes.select("sig", F.explode("keys").alias("key")).distinct()
-    found = _buckets(paths)
+    found = _buckets(paths, _most(1))
     members = materialize(paths.join(found, F.col("key") == F.col("_key")).drop("_key"), "members")
     wanted = members.select(F.col("sig").alias("_sig")).distinct()
     spots = classes.join(wanted, F.col("sig") == F.col("_sig")).select(F.col("sig"), F.col("at.doc_id").alias("_d"), F.col("at.content").alias("_c"))
@@ -256,7 +265,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 
     leaves, depth = None, 1
     while True:
-        most = LARGE if depth < 2 else (SHIP if depth < DEPTH else 1 << 62)
+        most = _most(depth)
         small = members.filter(F.col("n") <= most)
         leaves = small if leaves is None else leaves.unionByName(small)
         large = members.filter(F.col("n") > most)
@@ -264,7 +273,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
             break
         lists = large.groupBy("sig").agg(F.collect_list("key").alias("keys"))  # as many as runs and splits give
         paths = materialize(lists.join(sets, F.col("sig") == F.col("_sig")).select("sig", "keys", "tokens").mapInPandas(deeper, "sig binary, key long").distinct(), "paths")
-        found = _buckets(paths)
+        found = _buckets(paths, _most(depth + 1))
         members = materialize(paths.join(found, F.col("key") == F.col("_key")).drop("_key"), "members")
         depth += 1
     lists = leaves.groupBy("sig").agg(F.collect_list(F.struct("key", "n")).alias("leaves"))
