@@ -361,6 +361,16 @@ def test_keep_first(spark):
     assert sorted(r["doc_id"] for r in jaccard.keep_first(docs).collect()) == [1, 2]
 
 
+def test_keep_first_keeps_one_row_of_each_class(spark):
+    text = lambda c: " ".join(c * 3 + str(k) for k in range(8))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (None, text("c")), (1, text("d")), (1, text("e")), (2, text("f")), (2, text("f")), (3, text("f")), (4, None), (4, "")]
+    docs = spark.createDataFrame([(d, t, f"s{i}") for i, (d, t) in enumerate(rows)], "doc_id long, text string, source string")
+    got = jaccard.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((str(r["doc_id"]), r["text"] or "") for r in got.collect()) == sorted([*(("None", text(c)) for c in "abc"), ("1", text("d")), ("1", text("e")), ("2", text("f")), ("4", "")])
+    assert {r["source"] for r in got.collect()} >= {"s0", "s1", "s3", "s4", "s5", "s6"}
+
+
 # Repeated substrings
 
 

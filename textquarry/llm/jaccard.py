@@ -226,6 +226,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     words, null ones too, are copies of each other. A null doc_id stays null and names no class unless all are null; rows that
     repeat a doc_id are documents of their own; other columns are left out; an empty table gives no rows.
     """
+    return _classed(docs, threshold, recall, words, text, key).drop("class")
+
+
+def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """What jaccard_join returns, and class: the least sig of the class, which unlike class_id names one class alone."""
     spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("content"), F.col(text).cast("string").alias("text"))
     seeds = _seeds(runs_for(recall, DEPTH, threshold))
@@ -300,17 +305,24 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     named = classes.select("sig", "least", "n_copies").join(tied, F.col("sig") == F.col("a"), "left").withColumn("top", F.coalesce("top", "sig")).drop("a")
     named = materialize(named.join(counts, F.col("sig") == F.col("_sig"), "left").drop("_sig"), "named")
     first = materialize(named.groupBy(F.col("top").alias("_top")).agg(F.min("least").alias("class_id")), "class-ids")
-    named = materialize(named.join(first, F.col("top") == F.col("_top")).select(F.col("sig").alias("_sig"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "named-classes")
-    return signed.select("doc_id", "content", "sig").join(named, F.col("sig") == F.col("_sig")).select("doc_id", "content", "class_id", "n_links", "n_copies")
+    named = materialize(named.join(first, F.col("top") == F.col("_top")).select(F.col("sig").alias("_sig"), F.col("top").alias("class"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "n_copies"), "named-classes")
+    return signed.select("doc_id", "content", "sig").join(named, F.col("sig") == F.col("_sig")).select("doc_id", "content", "class", "class_id", "n_links", "n_copies")
+
+
+def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", **options) -> DataFrame:
+    """One row of docs for each class: that with the least doc_id, and of rows with that doc_id the least hash of the text; of rows that repeat both, the least as JSON. A null doc_id comes last."""
+    joined = _classed(docs, text=text, key=key, **options).groupBy("class", "doc_id", "content").agg(F.count(F.lit(1)).alias("n"))
+    stays = joined.groupBy("class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content", "n")).alias("at"))
+    stays = materialize(stays.select(F.col("at.doc_id").alias("_d"), F.col("at.content").alias("_c"), F.col("at.n").alias("_n")), "first-of-class")
 
+    def rows_of(some: DataFrame, how: str) -> DataFrame:
+        content = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
+        return docs.join(some, docs[key].cast("long").eqNullSafe(some["_d"]) & (content == some["_c"]), how)
 
-def keep_first(docs: DataFrame, **options) -> DataFrame:
-    """One row of docs for each class: that with the least doc_id, and of rows with that doc_id the least text."""
-    joined = jaccard_join(docs, **options)
-    stays = joined.groupBy("class_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "content")).alias("at"))
-    stays = materialize(stays.select(F.col("at.doc_id").alias("_d"), F.col("at.content").alias("_c")), "first-of-class")
-    kept = docs.join(stays, docs["doc_id"].eqNullSafe(stays["_d"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == stays["_c"]), "left_semi")
-    return kept
+    alone = rows_of(stays.filter("_n = 1"), "left_semi")
+    whole = F.struct(*[docs[c] for c in docs.columns])
+    repeated = rows_of(stays.filter("_n > 1"), "inner").groupBy("_d", "_c").agg(F.min_by(whole, F.to_json(whole)).alias("row"))
+    return alone.unionByName(repeated.select("row.*"))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
