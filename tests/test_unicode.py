@@ -178,3 +178,16 @@ def test_sql_names(spark):
 
 def test_every_oracle_has_its_query():
     assert set(queries.ORACLES) <= set(queries.QUERIES)
+
+
+def test_all_words_are_counted(spark, rules, tmp_path):
+    texts = {1: "don't e.g. a 3.14 x_1 don't", 2: "Straße Μετωνύμιο é é — 漢字 🐻", 3: "plain words, plain", 4: "", 5: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {}
+    for doc, text in texts.items():
+        for part in kernels.segments([text or ""], rules[1])[0]:
+            if any(unicodedata.category(c)[0] in "LN" for c in part["text"]):
+                want[doc, part["text"]] = want.get((doc, part["text"]), 0) + 1
+    got = queries.QUERIES["all_word_counts"](spark, str(tmp_path)).collect()
+    assert {(r["doc_id"], r["word"]): r["n"] for r in got} == want and len(got) == len(want)
+    assert want[1, "don't"] == 2 and want[1, "e.g"] == want[1, "3.14"] == want[2, "Straße"] == 1 and want[2, "é"] == 2 and want[3, "plain"] == 2

@@ -154,12 +154,19 @@ def word_around(spark, sf_dir):
 
 @query("select doc_id, word, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) as word from documents where strlen(text) = length(text) and not regexp_matches(text, '[0-9_:.''’·][A-Za-z]|[A-Za-z][0-9_:.''’·]+[0-9A-Za-z_]') ) group by doc_id, word")
 def word_counts(spark, sf_dir):
-    """Words of at least three ASCII letters, where no rule but that of letters applies."""
+    """Words of at least three ASCII letters, where no rule but that of letters applies: the part that SQL can check. all_word_counts has the rest."""
     docs = _docs(spark, sf_dir).filter(C.is_ascii(_text_column()) & ~_text_column().rlike(r"[0-9_:.'’·][A-Za-z]|[A-Za-z][0-9_:.'’·]+[0-9A-Za-z_]"))
     rows = frames.explode_segments(docs.withColumn("x", C.Unicode(spark).words(_text_column())).drop("text"), F.col("x"), "doc_id")
     return rows.filter(F.col("text").rlike("^[A-Za-z]{3,}$")).groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query()
+def all_word_counts(spark, sf_dir):
+    """All words of all documents: the segments with a letter or a number, counted by document."""
+    rows = frames.explode_segments(_docs(spark, sf_dir).withColumn("x", C.Unicode(spark).words(_text_column())).drop("text"), F.col("x"), "doc_id")
+    return rows.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
+
+
 # Categories, properties, scripts
 
 
