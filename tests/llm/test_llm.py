@@ -78,6 +78,18 @@ def test_allowed_candidates(spark):
     assert spans(spark, "key Qz7Kp0Lm3Xc9Vb5Ny8RtWq") == [("entropy64", 4, 26)]
 
 
+def test_classes_have_their_own_runs_in_a_candidate(spark):
+    rng = random.Random(8)
+    keys = ["".join(rng.choice("0123456789ABCDEF") for _ in range(40)) for _ in range(40)]
+    texts = [f"é {prefix}{key}{end} x" for key in keys for prefix, end in (("SIGNING_KEY=", ""), ("id/", "/z"), ("EXAMPLE-", "_a"))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    clean = [r["text"] for r in secrets.redact(rows).collect()]
+    assert not [t for t, c in zip(texts, clean, strict=True) if any(t[i : i + 12] in c for i in range(t.index("é") + 10, len(t) - 12) if set(t[i : i + 12]) <= set("0123456789ABCDEF"))]
+    assert ("entropy16", 3, 43) in spans(spark, f"ab/{keys[0]}")
+    assert spans(spark, "sampleQz7Kp0Lm3Xc9Vb5Ny8RtWq") == [("entropy64", 6, 28)]  # only the word is allowed
+    assert spans(spark, "number/123456789012345678901234567890") == [("hex", 7, 37)]  # no letter, so no entropy16
+
+
 def test_many_places_and_redaction(spark):
     text = " ".join(f"token={i:08d}" for i in range(900))
     found = spans(spark, text)

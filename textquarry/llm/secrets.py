@@ -18,7 +18,7 @@ BASE = [
 ]
 #: A candidate is a whole run of these; it needs a letter and a digit.
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
-#: kind, characters of the class, window, least bits a character. A candidate belongs to the first class that holds it whole.
+#: kind, characters of the class, window, least bits a character. The last class has all of a candidate's characters; a candidate that an earlier one holds whole is left to that.
 CLASSES = [("entropy16", r"^[0-9A-Fa-f]+$", 24, 3.0), ("entropy64", r"^[A-Za-z0-9+/=_-]+$", 20, 3.7)]
 #: Candidates that are no secrets: UUIDs, samples, slugs and paths of plain words, counting rows.
 ALLOWED = [
@@ -129,24 +129,48 @@ def _is(rank: int):
 
 
 def _entropy_spans(text: Column) -> Column:
+    """What lies between allowed parts of a candidate is judged by itself: as a whole by the widest class, and its runs of a narrower class by that class."""
     none = F.array().cast(_SPAN)
+    within = "|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("^"))
 
-    def of(candidate: Column, place: Column) -> Column:
-        good = candidate.rlike("[0-9]") & candidate.rlike("[A-Za-z]")
+    def mixed(piece: Column) -> Column:
+        return piece.rlike("[0-9]") & piece.rlike("[A-Za-z]")
+
+    def of(piece: Column, at: Column) -> Column:
+        good = mixed(piece)
         for pattern in ALLOWED:
-            good = good & ~candidate.rlike(pattern)
-        out = none
-        for rank, (_, members, window, least) in reversed(list(enumerate(CLASSES, len(BASE)))):
-            hot = F.transform(_hot_windows(candidate, window, least), _moved(place["start"], rank))
-            out = F.when(candidate.rlike(members), hot).otherwise(out)
-        return F.when(good, out).otherwise(none)
+            good = good & ~piece.rlike(pattern) if pattern.startswith("^") else good
+        *narrow, (_, _, window, least) = CLASSES
+        last = len(KINDS) - 1
+        whole = F.transform(_hot_windows(piece, window, least), _moved(at, last))
+        every, alone = [], F.lit(False)
+        for rank, (_, members, window, least) in enumerate(narrow, len(BASE)):
+            run = members.removeprefix("^").removesuffix("+$") + f"{{{window},}}"
+            every.append(_runs(piece, run, at, rank, window, least, mixed))
+            alone = alone | piece.rlike(members)
+        return F.when(good, F.concat(*every, F.when(alone, none).otherwise(whole))).otherwise(none)
+
+    def pieces(candidate: Column, place: Column) -> Column:
+        allowed = let(F.regexp_extract_all(candidate, F.lit(within), F.lit(0)), lambda found: _places(candidate, within, found))
+        return let(allowed, lambda ps: F.flatten(F.transform(F.split(candidate, within, -1), lambda c, i: of(c, place["start"] + F.coalesce(F.get(ps, i - 1)["end"], F.lit(0).cast("long"))))))
 
     def spans(found: Column) -> Column:
-        return let(_places(text, CANDIDATE, found), lambda p: F.flatten(F.transform(found, lambda c, i: of(c, F.get(p, i)))))
+        return let(_places(text, CANDIDATE, found), lambda p: F.flatten(F.transform(found, lambda c, i: F.when(mixed(c), pieces(c, F.get(p, i))).otherwise(none))))
 
     return let(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), lambda found: F.when(F.exists(found, lambda c: c.rlike("[0-9]")), spans(found)).otherwise(none))
 
 
+def _runs(piece: Column, run: str, at: Column, rank: int, window: int, least: float, good) -> Column:
+    """Spans of the runs of a class's characters in the piece."""
+    none = F.array().cast(_SPAN)
+
+    def spans(found: Column) -> Column:
+        one = lambda r, p: F.when(good(r), F.transform(_hot_windows(r, window, least), _moved(at + p["start"], rank))).otherwise(none)
+        return let(_places(piece, run, found), lambda ps: F.flatten(F.transform(found, lambda r, i: one(r, F.get(ps, i)))))
+
+    return let(F.regexp_extract_all(piece, F.lit(run), F.lit(0)), spans)
+
+
 def secret_spans(text: Column) -> Column:
     """All spans of a text: array of struct(start, rank in KINDS, end), by start, then kind, in code points, end exclusive."""
     text = F.coalesce(text.cast("string"), F.lit(""))
