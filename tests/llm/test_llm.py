@@ -363,6 +363,24 @@ def test_runs_of_one_family_stay_apart(spark, monkeypatch):
     assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in out} == jaccard.brute_force(texts) == {i: (0, 7, 1) for i in range(8)}
 
 
+def test_links_of_repeated_rows(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    rows = [(1, " ".join(base))] * 3 + [(2, near(rng, base, 1)), (1, near(rng, base, 2)), (1, "other words of one row that repeats its key")] + [(3, near(rng, base, 1))] * 2
+    for block_bytes in (jaccard.BLOCK_BYTES, 2000):  # with 2000, a block holds two sets
+        monkeypatch.setattr(jaccard, "BLOCK_BYTES", block_bytes)
+        out = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        got = sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_copies"]) for r in out)
+        assert got == sorted((d, *x) for (d, _), x in zip(rows, jaccard.brute_force(rows), strict=True)) and got[0][2:] == (0, 1)
+
+
+@pytest.mark.parametrize("scale", ["sf0.001"])
+def test_links_of_a_table_by_force(spark, scale):
+    base = f"/root/testdata/{scale}"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    assert {r["doc_id"]: (r["class_id"], r["n_links"], r["n_copies"]) for r in jaccard.op5_jaccard_join(spark, base).collect()} == jaccard.brute_force(texts)
+
+
 def test_recall_of_runs():
     assert jaccard.runs_for(0.9999) > jaccard.runs_for(0.99) > 1
     assert (1 - jaccard.THRESHOLD * (1 - jaccard.missed(jaccard.DEPTH - 1))) ** jaccard.runs_for(0.9999) <= 1e-4

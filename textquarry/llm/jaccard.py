@@ -18,16 +18,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import content_of, materialize, valid
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.9999
-#: A bucket above LARGE is split; after DEPTH samples it is compared all the same, a BLOCK against another.
+#: A bucket above LARGE is split; after DEPTH samples it is compared all the same, a block against another. A block has some
+#: BLOCK members or BLOCK_BYTES of sets, whichever are fewer members.
 LARGE = 64
 DEPTH = 4
 CHILDREN = 2
-BLOCK = 800
+BLOCK = 400
+BLOCK_BYTES = 16 << 20
 #: At SHIP members or fewer a bucket is compared from the second sample on: splitting it again costs more.
 SHIP = 2000
 
@@ -101,13 +103,19 @@ def _children(keys: Iterable[int], children: int = CHILDREN) -> np.ndarray:
 
 
 def _buckets(rows: DataFrame, most: int) -> DataFrame:
-    """key, n of the buckets with two members or more; of buckets with the same members that are compared (most or fewer), one.
+    """key, n, size (hashes of all members' sets) of the buckets with two members or more; of buckets with the same members that are compared (most or fewer), one.
 
     Larger ones are only split, and each gives children of its own: runs stay independent, as the recall assumes.
     """
-    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).filter("n > 1")
+    sums = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("tokens").alias("size"), F.bit_xor(F.xxhash64("sig")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "sig")).alias("y")).filter("n > 1")
     apart = F.when(F.col("n") > most, F.col("key")).alias("apart")
-    return materialize(sums.groupBy("n", "x", "y", apart).agg(F.min("key").alias("_key")).select("_key", "n"), "buckets")
+    return materialize(sums.groupBy("n", "size", "x", "y", apart).agg(F.min("key").alias("_key")).select("_key", "n", "size"), "buckets")
+
+
+def _blocks(n: int, size: int) -> int:
+    """The blocks that a bucket of n sets with so many hashes is dealt to: one while it is small in both."""
+    by_size = -(-8 * size // BLOCK_BYTES)
+    return max(-(-n // BLOCK) if n > 2 * BLOCK else 1, by_size if by_size > 2 else 1)
 
 
 def _most(depth: int) -> int:
@@ -232,7 +240,7 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, words: int = WORDS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """What jaccard_join returns, and class: the least sig of the class, which unlike class_id names one class alone."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("content"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), content_of(text).alias("content"), valid(text).alias("text"))
     seeds = _seeds(runs_for(recall, DEPTH, threshold))
 
     def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -241,19 +249,21 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
             for doc, content, text in zip(batch["doc_id"], batch["content"], batch["text"], strict=True):
                 tokens = shingles(text, words)
                 sig = xxhash.xxh3_128_digest(tokens.tobytes())
-                out.append((None if pd.isna(doc) else int(doc), content, sig, sample(tokens, seeds).tolist() if len(tokens) else []))
-            yield pd.DataFrame(out, columns=["doc_id", "content", "sig", "keys"], dtype=object)
+                out.append((None if pd.isna(doc) else int(doc), content, sig, len(tokens), sample(tokens, seeds).tolist() if len(tokens) else []))
+            yield pd.DataFrame(out, columns=["doc_id", "content", "sig", "tokens", "keys"], dtype=object)
 
-    signed = materialize(rows.mapInPandas(sign, "doc_id long, content long, sig binary, keys array<long>"), "signed")
-    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "content")).alias("at"), F.first("keys").alias("keys"))
+    signed = materialize(rows.mapInPandas(sign, "doc_id long, content long, sig binary, tokens long, keys array<long>"), "signed")
+    classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "content")).alias("at"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
-    paths = classes.select("sig", F.explode("keys").alias("key")).distinct()
+    paths = classes.select("sig", "tokens", F.explode("keys").alias("key")).distinct()
     found = _buckets(paths, _most(1))
     members = materialize(paths.join(found, F.col("key") == F.col("_key")).drop("_key"), "members")
     wanted = members.select(F.col("sig").alias("_sig")).distinct()
     spots = classes.join(wanted, F.col("sig") == F.col("_sig")).select(F.col("sig"), F.col("at.doc_id").alias("_d"), F.col("at.content").alias("_c"))
     spots = materialize(spots, "compared")
     texts = rows.join(spots, rows["doc_id"].eqNullSafe(spots["_d"]) & (rows["content"] == spots["_c"])).select("sig", "text")
+    if not signed.groupBy("doc_id", "content").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        texts = texts.groupBy("sig").agg(F.first("text").alias("text"))  # rows repeat doc_id and text: one of them is the set's
 
     def tokens(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -265,8 +275,8 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         for batch in batches:
             out = []
             for sig, keys, own in zip(batch["sig"], batch["keys"], batch["tokens"], strict=True):
-                out += [(sig, k) for k in set(sample(np.frombuffer(own, "uint64"), _children(keys)).tolist())]
-            yield pd.DataFrame(out, columns=["sig", "key"], dtype=object)
+                out += [(sig, len(own) // 8, k) for k in set(sample(np.frombuffer(own, "uint64"), _children(keys)).tolist())]
+            yield pd.DataFrame(out, columns=["sig", "tokens", "key"], dtype=object)
 
     leaves, depth = None, 1
     while True:
@@ -277,24 +287,26 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
         if depth == DEPTH or large.isEmpty():
             break
         lists = large.groupBy("sig").agg(F.collect_list("key").alias("keys"))  # as many as runs and splits give
-        paths = materialize(lists.join(sets, F.col("sig") == F.col("_sig")).select("sig", "keys", "tokens").mapInPandas(deeper, "sig binary, key long").distinct(), "paths")
+        paths = materialize(lists.join(sets, F.col("sig") == F.col("_sig")).select("sig", "keys", "tokens").mapInPandas(deeper, "sig binary, tokens long, key long").distinct(), "paths")
         found = _buckets(paths, _most(depth + 1))
         members = materialize(paths.join(found, F.col("key") == F.col("_key")).drop("_key"), "members")
         depth += 1
-    lists = leaves.groupBy("sig").agg(F.collect_list(F.struct("key", "n")).alias("leaves"))
+    lists = leaves.groupBy("sig").agg(F.collect_list(F.struct("key", "n", "size")).alias("leaves"))
 
     def send(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
+            out, held = [], 0
             for sig, found, own in zip(batch["sig"], batch["leaves"], batch["tokens"], strict=True):
                 keys = sorted({int(x["key"]) for x in found})
-                for key, n in {int(x["key"]): int(x["n"]) for x in found}.items():
-                    blocks = -(-n // BLOCK) if n > 2 * BLOCK else 1
+                for key, n, size in {(int(x["key"]), int(x["n"]), int(x["size"])) for x in found}:
+                    blocks = _blocks(n, size)
                     mine = xxhash.xxh3_64_intdigest(sig, seed=1) % blocks
-                    out += [(key, min(mine, b), max(mine, b), mine, sig, own, keys) for b in range(blocks)]
-                if len(out) > 2000:
+                    for b in range(blocks):
+                        out.append((key, min(mine, b), max(mine, b), mine, sig, own, keys))
+                        held += len(own)
+                if held > 1 << 25 or len(out) > 2000:
                     yield pd.DataFrame(out, columns=["key", "one", "two", "block", "sig", "tokens", "leaves"], dtype=object)
-                    out = []
+                    out, held = [], 0
             yield pd.DataFrame(out, columns=["key", "one", "two", "block", "sig", "tokens", "leaves"], dtype=object)
 
     sent = lists.join(sets, F.col("sig") == F.col("_sig")).select("sig", "leaves", "tokens").mapInPandas(send, "key long, one int, two int, block int, sig binary, tokens binary, leaves array<long>")
@@ -316,8 +328,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", **optio
     stays = materialize(stays.select(F.col("at.doc_id").alias("_d"), F.col("at.content").alias("_c"), F.col("at.n").alias("_n")), "first-of-class")
 
     def rows_of(some: DataFrame, how: str) -> DataFrame:
-        content = F.xxhash64(F.coalesce(docs[text].cast("string"), F.lit("")))
-        return docs.join(some, docs[key].cast("long").eqNullSafe(some["_d"]) & (content == some["_c"]), how)
+        return docs.join(some, docs[key].cast("long").eqNullSafe(some["_d"]) & (content_of(docs[text]) == some["_c"]), how)
 
     alone = rows_of(stays.filter("_n = 1"), "left_semi")
     whole = F.struct(*[docs[c] for c in docs.columns])
@@ -329,20 +340,19 @@ def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("content")
 
 
-def brute_force(texts: dict[int, str | None], threshold: float = THRESHOLD, words: int = WORDS) -> dict[int, tuple[int, int, int]]:
-    """doc_id: (class_id, n_links, n_copies) by comparing all sets: for small inputs in tests."""
-    sets = {}
-    for doc, text in texts.items():
+def brute_force(texts: dict[int, str | None] | list[tuple[int, str | None]], threshold: float = THRESHOLD, words: int = WORDS) -> dict[int, tuple[int, int, int]] | list[tuple[int, int, int]]:
+    """(class_id, n_links, n_copies) of each doc_id, or of each row of a list, by comparing all sets: for small inputs in tests."""
+    rows = list(texts.items()) if isinstance(texts, dict) else texts
+    own_sets, distinct = [], {}
+    for doc, text in rows:
         parts = (text or "").split()
-        sets[doc] = frozenset(" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))) if parts else frozenset()
-    distinct: dict[frozenset, list[int]] = {}
-    for doc, own in sets.items():
+        own = frozenset(" ".join(parts[i : i + words]) for i in range(max(1, len(parts) - words + 1))) if parts else frozenset()
+        own_sets.append(own)
         distinct.setdefault(own, []).append(doc)
-    keys, place = list(distinct), {}
-    top = list(range(len(keys)))
-    links = [0] * len(keys)
+    sets, place = list(distinct), {}
+    top, links = list(range(len(sets))), [0] * len(sets)
     where: dict[str, list[int]] = {}
-    for i, own in enumerate(keys):
+    for i, own in enumerate(sets):
         place[own] = i
         for s in own:
             where.setdefault(s, []).append(i)
@@ -352,18 +362,19 @@ def brute_force(texts: dict[int, str | None], threshold: float = THRESHOLD, word
             i = top[i]
         return i
 
-    for i, own in enumerate(keys):
+    for i, own in enumerate(sets):
         common: dict[int, int] = {}
         for s in own:
             for j in where[s]:
                 if j < i:
                     common[j] = common.get(j, 0) + 1
         for j, n in common.items():
-            if n >= threshold * (len(own) + len(keys[j]) - n) - 1e-9:
+            if n >= threshold * (len(own) + len(sets[j]) - n) - 1e-9:
                 links[i] += 1
                 links[j] += 1
                 top[root(i)] = root(j)
     least: dict[int, int] = {}
-    for i, own in enumerate(keys):
+    for i, own in enumerate(sets):
         least[root(i)] = min(least.get(root(i), 1 << 62), *distinct[own])
-    return {doc: (least[root(place[own])], links[place[own]], len(distinct[own])) for doc, own in sets.items()}
+    out = [(least[root(place[own])], links[place[own]], len(distinct[own])) for own in own_sets]
+    return dict(zip(texts, out, strict=True)) if isinstance(texts, dict) else out

@@ -57,6 +57,16 @@ def open_old(uri: str):
     return store.open_input_file(path)
 
 
+def valid(text: Column | str) -> Column:
+    """The text as well-formed UTF-8, each ill-formed part as U+FFFD: Python stages can't be given other bytes."""
+    return F.make_valid_utf8((F.col(text) if isinstance(text, str) else text).cast("string"))
+
+
+def content_of(text: Column | str) -> Column:
+    """A hash that tells texts of one key apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(valid(text), F.lit("")))
+
+
 def let(value: Column, use) -> Column:
     """use(value), with value computed once however often use mentions it."""
     return F.element_at(F.transform(F.array(value), use), 1)
