@@ -288,21 +288,54 @@ def test_revisits(spark):
 # Decontamination
 
 
-def distance(item, text):
-    row = [0] * (len(text) + 1)
+def last_row(item, text, anchored=False):
+    """The item's distance to the nearest part of text that ends at each place, from 0 on."""
+    row = list(range(len(text) + 1)) if anchored else [0] * (len(text) + 1)
     for i, a in enumerate(item, 1):
         diag, row[0] = row[0], i
         for j, b in enumerate(text, 1):
             diag, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, diag + (a != b))
-    return min(row)
+    return row
+
+
+def passages(item, text, most):
+    """(start, end, errors) of each run of ends within most errors, by the whole table of distances."""
+    row, out, run = last_row(item, text), [], []
+    for end in range(1, len(text) + 2):
+        if end <= len(text) and row[end] <= most:
+            run.append((row[end], end))
+        elif run:
+            errors, best = min(run)
+            back = last_row(item[::-1], text[:best][::-1], anchored=True)
+            out.append((best - min(i for i, d in enumerate(back) if d == errors), best, errors))
+            run = []
+    return out
 
 
-@given(st.text("abc ", min_size=1, max_size=14), st.text("abc ", max_size=30))
+@given(st.text("abc ", min_size=1, max_size=14), st.text("abc ", max_size=30), st.booleans())
 @settings(max_examples=200, deadline=None)
-def test_distance(item, text):
-    found = decontamination.Pattern(item).find(text, len(item))
-    best = distance(item, text)
-    assert (found[0] if found else len(item)) == best or (found is None and best >= len(item))
+def test_distance(item, text, anchored):
+    assert list(decontamination.Pattern(item).distances(text, anchored)) == last_row(item, text, anchored)[1:]
+
+
+@given(st.lists(st.text("ab", min_size=1, max_size=12), min_size=1, max_size=3), st.text("ab", max_size=60), st.integers(2, 9))
+@settings(max_examples=300, deadline=None)
+def test_passages_like_whole_tables(items, text, chars):
+    got = decontamination.Matcher(list(enumerate(items)), chars).search(text)
+    assert sorted(got) == sorted((i, *x) for i, item in enumerate(items) for x in passages(item, text, len(item) // chars))
+
+
+def leaks(df):
+    return sorted((r["doc_id"], r["item_id"], r["start"], r["end"], r["errors"]) for r in df.collect())
+
+
+def leaks_by_force(texts, items):
+    out = []
+    for d, t in texts:
+        for i, x in items:
+            x, t = decontamination.normal(x), decontamination.normal(t)
+            out += [(d, i, *p) for p in passages(x, t, len(x) // decontamination.CHARS_FOR_ERROR)] if x else []
+    return sorted(out)
 
 
 def test_leaks_by_force(spark):
@@ -316,15 +349,52 @@ def test_leaks_by_force(spark):
         for _ in range(rng.choice([0, 0, 1, 2, 5, 9])):
             part[rng.randrange(len(part))] = rng.choice("abc ")
         texts.append(" ".join(body[:15]) + (" " + "".join(part).upper() + ", " if n % 4 else " ") + " ".join(body[15:]))
-    docs = spark.createDataFrame([*enumerate(texts), (99, None), (98, "")], "doc_id long, text string")
-    bench = spark.createDataFrame([*enumerate(items), (50, None), (51, " !")], "item_id long, text string")
-    want = {(d, i) for d, t in enumerate(texts) for i, x in enumerate(items) if distance(decontamination.normal(x), decontamination.normal(t)) <= len(decontamination.normal(x)) // decontamination.CHARS_FOR_ERROR}
-    assert want and {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench).collect()} == want
-    assert {(r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(docs, bench, block_chars=100).collect()} == want
-    assert decontamination.drop_leaking(docs, bench).count() == 62 - len({d for d, _ in want})
+    one = items[0]
+    texts += [one[:7] + one[8:], f"{one} {one}", one[:30] + one + one[40:] + one]  # a deletion, two in a row, pieces of it around
+    rows = [*enumerate(texts), (99, None), (98, ""), (0, texts[0]), (1, texts[1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    queries = [*enumerate(items), (50, None), (51, " !"), (52, items[1])]
+    bench = spark.createDataFrame(queries, "item_id long, text string")
+    want = leaks_by_force(rows, queries)
+    assert len(want) > 30 and leaks(decontamination.find_leaks(docs, bench)) == want
+    assert leaks(decontamination.find_leaks(docs, bench, block_chars=100)) == want
+    assert decontamination.drop_leaking(docs, bench).count() == len(rows) - sum(d in {x[0] for x in want} for d, _ in rows)
     assert decontamination.find_leaks(docs, empty(bench)).count() == 0
 
 
+def test_leaks_of_a_table_by_force(spark):
+    """Every document against every item: the distances by NumPy, a row of the table for each character of an item."""
+    base = "/root/testdata/sf0.001"
+    table = lambda name, key: [(r[key], decontamination.normal(r["text"])) for r in spark.read.parquet(f"{base}/{name}.parquet").collect()]
+    got = decontamination.op3_benchmark_decontamination(spark, base).collect()
+    hits = {(r["doc_id"], r["item_id"]): r["errors"] for r in got}
+    assert len(hits) == len(got)
+    docs, want = table("documents", "doc_id"), {}
+    joined, ends = "\0".join(t for _, t in docs), np.cumsum([len(t) + 1 for _, t in docs])
+    codes = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+    for i, item in table("benchmark", "item_id"):
+        most, places = len(item) // decontamination.CHARS_FOR_ERROR, set()
+        cut = [len(item) * k // (most + 1) for k in range(most + 2)]
+        for a, b in zip(cut, cut[1:]):  # an unchanged piece, found by comparing all places
+            piece = np.frombuffer(item[a:b].encode("utf-32-le"), "<u4")
+            same = np.ones(len(codes) - len(piece) + 1, bool)
+            for k, c in enumerate(piece):
+                same &= codes[k : len(codes) - len(piece) + 1 + k] == c
+            places |= set(np.searchsorted(ends, np.flatnonzero(same), "right").tolist())
+        for d in places:
+            if len(item) and (found := passages(item, docs[d][1], most)):
+                want[docs[d][0], i] = min(e for _, _, e in found)
+    assert hits == want
+
+
+def test_many_hits_and_long_items():
+    rng = random.Random(7)
+    item = "".join(rng.choice("abcdefghijklmnop ") for _ in range(8000))
+    matcher = decontamination.Matcher([(1, item)])
+    piece = item[: 8000 // 401]
+    assert matcher.search(piece * 2000) == [] and matcher.search(f"{piece * 50}{item}{piece * 50}")[0][3] == 0
+
+
 # Jaccard join
 
 
