@@ -225,23 +225,86 @@ def test_token_files_by_force(spark, docs):
 # Packing
 
 
-@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=12))
-@settings(max_examples=150, deadline=None)
-def test_plan_holds_every_piece(histogram):
-    patterns = packing.plan(histogram, 40)
-    used = {}
+def sequences(histogram, capacity):
+    """The number that packing.plan needs, after a look whether it holds every piece."""
+    patterns, used = packing.plan(histogram, capacity), {}
     for p in patterns:
-        assert p.copies > 0 and sum(x * n for x, n in p.parts) <= 40
+        assert p.copies > 0 and sum(x * n for x, n in p.parts) <= capacity
         for x, n in p.parts:
             used[x] = used.get(x, 0) + n * p.copies
     assert used == histogram
-    assert sum(p.copies for p in patterns) <= sum(p.copies for p in packing._best_fit(np.bincount(list(histogram), list(histogram.values()), 41).astype("int64"), 40))
+    return sum(p.copies for p in patterns)
+
 
+def fewest(pieces, capacity):
+    """The optimum by all subsets: sequences, and tokens in the last of them, the least of each."""
+    best = [(1, 0)] + [(1 << 30, 0)] * ((1 << len(pieces)) - 1)
+    for m in range(1, 1 << len(pieces)):
+        for i, x in enumerate(pieces):
+            if m >> i & 1:
+                k, last = best[m ^ 1 << i]
+                best[m] = min(best[m], (k, last + x) if last + x <= capacity else (k + 1, x))
+    return best[-1][0]
 
-def test_plan_beats_best_fit():
-    histogram = {6: 1, 5: 2, 4: 2, 3: 2}  # 6+4, 5+5, 4+3+3: best fit takes one more for some capacity
-    assert sum(p.copies for p in packing.plan(histogram, 10)) == 3
-    assert packing._fillings(np.bincount([7, 2, 2, 2, 3], minlength=11), 9, 3)[0] == [(7, 1), (2, 1)]
+
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 6), max_size=12))
+@settings(max_examples=150, deadline=None)
+def test_plan_holds_every_piece(histogram):
+    fit = packing.best_fit(np.bincount(list(histogram), list(histogram.values()), 41).astype("int64"), 40)
+    assert sequences(histogram, 40) <= sum(p.copies for p in fit)
+
+
+def test_plan_is_minimal():
+    assert sequences({x: 1 for x in (12, 13, 16, 18, 19, 20, 21, 24)}, 50) == 3
+    rng = random.Random(1)
+    for _ in range(600):
+        capacity, least = rng.choice([(20, 1), (50, 1), (50, 10), (100, 25), (100, 1)])
+        pieces = [rng.randint(least, rng.choice([capacity // 2, capacity * 2 // 3, capacity])) for _ in range(rng.randint(6, 10))]
+        histogram = {x: pieces.count(x) for x in pieces}
+        found = packing.search(histogram, capacity)
+        assert found.proved and found.least <= found.sequences == sequences(histogram, capacity) == fewest(pieces, capacity)
+
+
+def test_plan_of_exact_triples():
+    rng, pieces = random.Random(3), []
+    while len(pieces) < 60:
+        a, b = rng.randint(1025, 2047), rng.randint(1025, 2047)
+        pieces += [a, b, 4096 - a - b] if 1025 <= 4096 - a - b <= 2047 else []
+    histogram = {x: pieces.count(x) for x in pieces}
+    fit = packing.best_fit(np.bincount(pieces, minlength=4097).astype("int64"), 4096)
+    assert sequences(histogram, 4096) == 20 < sum(p.copies for p in fit)
+
+
+def test_search_without_a_proof_says_so(caplog):
+    rng, counts = random.Random(2), {}
+    for _ in range(300):
+        x = rng.randint(1025, 2047)
+        counts[x] = counts.get(x, 0) + 1
+    found = packing.search(counts, 4096, budget=50)
+    assert not found.proved and found.least < found.sequences and found.nodes >= 50
+    packing.plan(counts, 4096, budget=50)
+    assert "without a proof" in caplog.text
+
+
+def test_undominated_fillings():
+    def search(*lengths):
+        out = packing._Search(np.bincount(lengths, minlength=11).astype("int64"), 10, 100)
+        out.sequences = 9  # so that waste rules nothing out
+        return out
+
+    assert list(search(4, 6, 3, 3).fillings(4)) == [[(6, 1)]]  # one piece that fills the room dominates all
+    assert list(search(3, 2, 2, 1).fillings(3)) == [[(2, 2), (1, 1)]]
+    assert sorted(search(5, 4, 3, 2).fillings(5)) == [[(3, 1), (2, 1)], [(4, 1)]]
+    assert packing.dominated([(3, 1)], 1 << 4, 2) and not packing.dominated([(4, 1)], 1 << 3 | 1 << 7, 1) and packing.dominated([(2, 1), (1, 1)], 1 << 3, 0)
+
+
+def test_pack_any_columns(spark):
+    rows = spark.createDataFrame([(None, 5, "a", 7), (2**60 + 1, 6, None, 7), (2**60 + 1, 6, None, 7), (4, 4, "b", 7), (5, None, "c", 7)], "doc_id long, length long, rank string, offset long")
+    out = {(r["doc_id"], r["length"], r["rank"]): (r["sequence_id"], r["offset"]) for r in packing.pack(rows, 10).collect()}
+    assert out[5, None, "c"] == (None, None) and (2**60 + 1, 6, None) in out and len({x for x, _ in out.values()}) == 4
+    assert packing.pack(empty(rows), 10).count() == 0
+    with pytest.raises(ValueError, match="fit"):
+        packing.pack(rows, 5)
 
 
 def check_packed(rows, capacity):
@@ -253,14 +316,28 @@ def check_packed(rows, capacity):
 def test_packing_places_every_piece(spark, docs):
     out = packing.pack_documents(docs, vocabulary(), 512).toPandas()
     check_packed(out, 512)
-    fit = packing._best_fit(np.bincount(out["length"], minlength=513).astype("int64"), 512)
-    assert -(-out["length"].sum() // 512) <= out["sequence_id"].nunique() <= sum(p.copies for p in fit)
+    counts = np.bincount(out["length"], minlength=513).astype("int64")
+    assert packing.lower_bound(counts, 512) <= out["sequence_id"].nunique() <= sum(p.copies for p in packing.best_fit(counts, 512))
     ids = {d: word_ids(vocabulary()).ids(t) + b"\1\0\0\0" for d, t in docs.select("doc_id", "text").collect()}
     for d, own in out.sort_values("start").groupby("doc_id"):
         assert list(own["piece"]) == list(range(len(own))) and own["length"].sum() * 4 == len(ids[d])
         assert all(zlib.crc32(ids[d][4 * s : 4 * (s + n)]) == c for s, n, c in zip(own["start"], own["length"], own["ids_crc32"], strict=True))
 
 
+def test_packing_query_by_force(spark):
+    """The query's rows against ids by the library, and its number of sequences against the bound, which it reaches here."""
+    from tokenizers import Tokenizer
+
+    whole, base, want = Tokenizer.from_file(vocabulary()), "/root/testdata/sf0.01", []
+    out = packing.op10_best_fit_packing(spark, base).toPandas()
+    check_packed(out, 4096)
+    for r in spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").collect():
+        ids = np.array([*whole.encode(r["text"] or "", add_special_tokens=False).ids, 1], "<u4")
+        want += [(r["doc_id"], i, a, len(ids[a : a + 4096]), zlib.crc32(ids[a : a + 4096].tobytes())) for i, a in enumerate(range(0, len(ids), 4096))]
+    assert sorted(zip(*[out[c].tolist() for c in ("doc_id", "piece", "start", "length", "ids_crc32")], strict=True)) == sorted(want)
+    assert out["sequence_id"].nunique() == packing.lower_bound(np.bincount(out["length"], minlength=4097).astype("int64"), 4096)
+
+
 # WARC
 
 
