@@ -346,20 +346,92 @@ def test_both_arc_versions_and_dates():
 
     for version in (1, 2):
         data = warc.arc_version_block(version, "f.arc", "20000101000000") + warc.arc_record(version, "http://a/b c", "19990203", "text/html", b"x\n\ny") + b"\n" + warc.arc_record(version, "", "2001", "", b"")
-        first, second = warc.parse_arc(io.BytesIO(data))
+        block, first, second = warc.parse_arc(io.BytesIO(data))
+        assert (block.version, block.name, block.origin) == (version, "f.arc", "textquarry")
         assert (first.url, first.body, first.length, first.status) == ("http://a/b%20c", b"x\n\ny", 4, 200 if version == 2 else None) and second.body == b""
         assert (warc.warc_date(first.date), warc.warc_date(second.date)) == ("1999-02-03T00:00:00Z", "2001-01-01T00:00:00Z")
     with pytest.raises(ValueError, match="declared"):
         list(warc.parse_arc(io.BytesIO(warc.arc_version_block(1, "f", "2000") + b"u 0 2000 t 9\nshort")))
+    odd = {"00000000000000": "1970-01-01T00:00:00Z", "19990200000000": "1999-02-01T00:00:00Z", "1999013": "1999-01-01T00:00:00Z", "20040230120000": "2004-02-01T00:00:00Z", "x": "1970-01-01T00:00:00Z", "": "1970-01-01T00:00:00Z", "19961231235959123": "1996-12-31T23:59:59Z"}
+    assert {d: warc.warc_date(d) for d in odd} == odd and warc.warc_date("0000", "19970101000000") == "1997-01-01T00:00:00Z"
+
+
+def foreign_arcs(folder):
+    """Archives as crawlers left them: whole answers, DNS records, odd dates, spaces in URLs and types; the second not compressed."""
+    import gzip
+
+    page = b"<p>" + b"long enough " * 100
+    ok = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n" + page
+    gone = b"HTTP/1.0 404 Not Found\nServer: x\n\n<h1>none"
+    first = [
+        ("filedesc://IA-000001.arc 0.0.0.0 19960923142103 text/plain", b"1 0 Alexa Internet\nURL IP-address Archive-date Content-type Archive-length\n"),
+        ("dns:www.dryswamp.edu 204.178.64.5 19961104142103 text/dns", b"19961104142103\nwww.dryswamp.edu. 600 IN A 127.10.100.2\n"),
+        ("http://www.dryswamp.edu:80/index.html 127.10.100.2 19961104142104 text/html", ok),
+        ("http://www.dryswamp.edu/a b#page=x 127.10.100.2 00000000000000 text/html; charset=utf-8", gone),
+        ("http://old.example/ 127.0.0.1 19961104 text/html", b"<title>no head</title>"),
+    ]
+    line = lambda head, body: f"{head} {len(body)}\n".encode() + body + b"\n"
+    (folder / "a.arc.gz").write_bytes(b"".join(gzip.compress(line(*x)) for x in first))
+    second = [
+        ("filedesc://two.arc 0.0.0.0 20000101000000 text/plain 200 - - 0 two.arc", b"2 0 Somebody\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"),
+        ("http://copy.example/ 10.0.0.1 20010101000000 text/html 200 0d1c44bd6e1f5ae2b6b48a9f0ae0b5d9 - 150 two.arc", ok),
+        ("http://bare.example/x 10.0.0.2 20010230000000 text/html 404 - - 900 two.arc", b"nothing here"),
+        ("ftp://f.example/y 10.0.0.3 2001 no-type - - - 1000 two.arc", b"bytes"),
+        ("http://empty.example/ 10.0.0.4 20010101000000 text/html 304 - http://e/ 1100 two.arc", b""),
+    ]
+    (folder / "b.arc").write_bytes(b"\n".join(line(*x) for x in second))
+    return [f"file://{folder}/a.arc.gz", f"file://{folder}/b.arc"], page
+
+
+def test_foreign_archives(spark, tmp_path):
+    paths, page = foreign_arcs(tmp_path)
+    files = spark.createDataFrame([(p,) for p in paths], "path string")
+    made = warc.convert(files, shared.new_folder(spark, "warc"))
+    out = {r["uri"]: r for r in warc.read_warc(made).collect() if r["uri"]}
+    sha1 = lambda data: hashlib.sha1(data).hexdigest()
+    row = lambda u: (out[u]["record_type"], out[u]["status"], out[u]["date"], out[u]["payload_bytes"], out[u]["payload_digest"])
+    dns = b"19961104142103\nwww.dryswamp.edu. 600 IN A 127.10.100.2\n"
+    assert row("dns:www.dryswamp.edu") == ("resource", None, "1996-11-04T14:21:03Z", len(dns), sha1(dns))
+    assert row("http://www.dryswamp.edu:80/index.html") == ("revisit", 200, "1996-11-04T14:21:04Z", len(page), sha1(page))  # the later one is the response
+    assert row("http://www.dryswamp.edu/a b#page=x") == ("response", 404, "1996-09-23T14:21:03Z", 8, sha1(b"<h1>none"))
+    assert row("http://old.example/") == ("resource", None, "1996-11-04T00:00:00Z", 22, sha1(b"<title>no head</title>"))
+    assert row("http://copy.example/") == ("response", 200, "2001-01-01T00:00:00Z", len(page), sha1(page))
+    assert out["http://www.dryswamp.edu:80/index.html"]["refers_to_id"] == out["http://copy.example/"]["record_id"]
+    assert row("http://bare.example/x") == ("response", 404, "2001-02-01T00:00:00Z", 12, sha1(b"nothing here"))
+    assert row("ftp://f.example/y")[:3] == ("resource", None, "2001-01-01T00:00:00Z") and row("http://empty.example/")[:2] == ("response", 304)
+    infos = [r for r in warc.read_warc(made).collect() if r["record_type"] == "warcinfo"]
+    assert len(out) == 8 and len(infos) == 2 and len({r["record_id"] for r in [*out.values(), *infos]}) == 10
+    again = warc.read_warc(warc.convert(files, shared.new_folder(spark, "warc"))).collect()
+    assert {r["record_id"] for r in again} == {r["record_id"] for r in [*out.values(), *infos]}
+    heads, bodies = {}, {}
+    for p in [r["path"] for r in made.collect()]:
+        with shared.open_old(p) as f:
+            for head, block in warc.parse_warc(warc.gunzipped(f)):
+                heads[head["warc-record-id"]], bodies[head.get("warc-target-uri") or head["warc-filename"]] = head, block
+    assert all(h["warc-type"] == "warcinfo" or heads[h["warc-warcinfo-id"]]["warc-type"] == "warcinfo" for h in heads.values())
+    assert bodies["http://www.dryswamp.edu/a b#page=x"] == b"HTTP/1.0 404 Not Found\nServer: x\n\n<h1>none"
+    assert b"operator: Alexa Internet\r\n" in bodies["IA-000001.arc"] and b"ARC version 2" in bodies["two.arc"]
 
 
 def test_revisits(spark):
     long = "p" * 1200
-    rows = spark.createDataFrame([(1, "http://a/", long), (7, "http://b/", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "x y", None), (None, "n", long)], "page_id long, url string, html string")
-    out = {r["page_id"]: r for r in warc.pages_to_warc(rows, shared.new_folder(spark, "warc")).collect()}
-    assert {k: (r["record_type"], r["refers_to"]) for k, r in out.items()} == {1: ("revisit", 7), 3: ("revisit", 7), None: ("revisit", 7), 7: ("response", None), 4: ("response", None), 5: ("response", None), 6: ("response", None)}
-    assert out[1]["payload_bytes"] == 1200 and out[1]["payload_digest"] == hashlib.sha1(long.encode()).hexdigest() and out[6]["payload_bytes"] == 0
+    assert [r["page_id"] for r in warc.pages_to_warc(spark.createDataFrame([(None, "u", "x"), (2**60 + 1, "u", "y")], "page_id long, url string, html string"), shared.new_folder(spark, "warc")).orderBy("page_id").collect()] == [None, 2**60 + 1]
+    rows = spark.createDataFrame([(1, "http://a/", long), (7, "http://b/", long), (3, None, long), (4, "u", "short"), (5, "u", "short"), (6, "x y", None), (None, "n", long), (7, "http://b/", long)], "page_id long, url string, html string")
+    out = warc.pages_to_warc(rows, shared.new_folder(spark, "warc")).collect()
+    got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in out), key=str)
+    assert got == sorted([(1, "revisit", 7), (3, "revisit", 7), (None, "revisit", 7), (7, "revisit", 7), (7, "response", None), (4, "response", None), (5, "response", None), (6, "response", None)], key=str)
+    assert len({r["record_id"] for r in out}) == 8
+    by_page = {r["page_id"]: r for r in out}
+    assert by_page[1]["payload_bytes"] == 1200 and by_page[1]["payload_digest"] == hashlib.sha1(long.encode()).hexdigest() and by_page[6]["payload_bytes"] == 0
     assert warc.pages_to_warc(empty(rows), shared.new_folder(spark, "warc")).count() == 0
+    alone = spark.createDataFrame([(2**60 + k, "http://a/", long if k % 3 else f"{k}") for k in range(6)], rows.schema).coalesce(1)
+    files = warc.write_arc(alone, shared.new_folder(spark, "arc")).collect()
+    blocks = []
+    for r in files:
+        with shared.open_old(r["path"]) as f:
+            blocks += [(x.version, sum(1 for _ in rest)) for x, *rest in [list(warc.parse_arc(warc.gunzipped(f)))]]
+    assert sorted(blocks) == [(1, 3), (2, 3)]  # one task writes both versions
+    assert {r["refers_to"] for r in warc.pages_to_warc(alone, shared.new_folder(spark, "warc")).collect()} == {None, 2**60 + 5}
 
 
 # Decontamination
@@ -560,17 +632,48 @@ def test_prefix_expansion(texts):
     assert [f.tolist() for f in found] == [[seen.count(p[i : i + 7]) > 1 for i in range(max(0, len(p) - 6))] for p in parts]
 
 
-def test_removal_by_force(spark, monkeypatch):
-    monkeypatch.setattr(substrings, "HOT", 3)
+def removed(df):
+    return sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in df.collect())
+
+
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_removal_by_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(substrings, "HOT", hot)
     monkeypatch.setattr(substrings, "BATCH_BYTES", 2000)
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("abcdefgé \n") for _ in range(n))
     passages = [word(n) for n in (199, 200, 260, 900)]
     texts = [word(rng.randint(0, 500)) + "".join(rng.choice([*passages, word(50)]) + word(rng.randint(0, 90)) for _ in range(rng.randint(0, 4))) for _ in range(60)]
     texts += [None, "", "x" * 5000, "xyz" * 400, texts[5], word(150) * 3, passages[3], "é" * 100, "é" * 101]
-    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    out = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(bytes(r["kept"])).hexdigest()) for r in substrings.remove_repeats(rows).collect()}
-    assert [out[i] for i in range(len(texts))] == substrings.brute_force(texts)
+    for _ in range(12):  # near copies: a change here and there
+        own = list(passages[3])
+        for _ in range(rng.randint(1, 4)):
+            own[rng.randrange(len(own))] = rng.choice("xyz")
+        texts.append("".join(own))
+    rows = [*enumerate(texts), (5, texts[5]), (None, texts[7]), (None, passages[2])]
+    want = sorted((-1 if d is None else d, *x) for (d, _), x in zip(rows, substrings.brute_force([t for _, t in rows]), strict=True))
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert removed(got.fillna(-1, "doc_id")) == want
+
+
+def test_removal_of_a_table_by_force(spark):
+    base = "/root/testdata/sf0.001"
+    rows = spark.read.parquet(f"{base}/documents.parquet").select("doc_id", "text").collect()
+    want = sorted((r["doc_id"], *x) for r, x in zip(rows, substrings.brute_force([r["text"] for r in rows]), strict=True))
+    assert sorted(map(tuple, substrings.op8_suffix_array_dedup(spark, base).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect())) == want
+
+
+@given(st.text("ab", min_size=60, max_size=400), st.sampled_from([1, 2, 8, 32]))
+@settings(max_examples=60, deadline=None)
+def test_equal_windows_have_one_key(text, width):
+    """Of windows that are equal, wherever they stand, the bucket and the key by distance are equal too."""
+    data, keys = text.encode(), {}
+    for least, start, n, gap in zip(*map(np.ndarray.tolist, substrings.segments(np.frombuffer(data, np.uint8), 50)), strict=True):
+        found = list(substrings.by_distance(data[start : start + n + 49], gap, n, width, 50))
+        assert [a for _, a, _ in found] == np.cumsum([0, *(m for _, _, m in found[:-1])]).tolist() and sum(m for *_, m in found) == n
+        for key, a, m in found:
+            for w in range(start + a, start + a + m):
+                assert keys.setdefault(data[w : w + 50], (least, key)) == (least, key)
 
 
 # URLs

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import content_of, materialize, valid
+from .shared import content_of, map_lists, materialize, valid
 
 #: One error for so many characters of an item.
 CHARS_FOR_ERROR = 20
@@ -189,16 +189,16 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, chars_for_error: int = CHA
     for block in _blocks(items, block_chars):
         sent = spark.sparkContext.broadcast((block, chars_for_error))
 
-        def search(batches: Iterable[pd.DataFrame], sent=sent, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+        def search(batches: Iterable[dict[str, list]], sent=sent, name=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
             matcher = _matcher(name, sent)
             for batch in batches:
                 found = []
                 for doc, content, text in zip(batch["doc_id"], batch["content"], batch["text"], strict=True):
                     if text:
-                        found += [(None if pd.isna(doc) else int(doc), content, *x) for x in matcher.search(normal(text))]
+                        found += [(doc, content, *x) for x in matcher.search(normal(text))]
                 yield pd.DataFrame(found, columns=["doc_id", "content", "item_id", "start", "end", "errors"], dtype=object)
 
-        part = rows.mapInPandas(search, kinds)
+        part = map_lists(rows, search, kinds)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], kinds) if out is None else out
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import content_of, materialize, valid
+from .shared import content_of, map_lists, materialize, valid
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -243,16 +243,16 @@ def _classed(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), content_of(text).alias("content"), valid(text).alias("text"))
     seeds = _seeds(runs_for(recall, DEPTH, threshold))
 
-    def sign(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sign(batches: Iterable[dict[str, list]]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc, content, text in zip(batch["doc_id"], batch["content"], batch["text"], strict=True):
                 tokens = shingles(text, words)
                 sig = xxhash.xxh3_128_digest(tokens.tobytes())
-                out.append((None if pd.isna(doc) else int(doc), content, sig, len(tokens), sample(tokens, seeds).tolist() if len(tokens) else []))
+                out.append((doc, content, sig, len(tokens), sample(tokens, seeds).tolist() if len(tokens) else []))
             yield pd.DataFrame(out, columns=["doc_id", "content", "sig", "tokens", "keys"], dtype=object)
 
-    signed = materialize(rows.mapInPandas(sign, "doc_id long, content long, sig binary, tokens long, keys array<long>"), "signed")
+    signed = materialize(map_lists(rows, sign, "doc_id long, content long, sig binary, tokens long, keys array<long>"), "signed")
     classes = signed.groupBy("sig").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n_copies"), F.min(F.struct("doc_id", "content")).alias("at"), F.first("tokens").alias("tokens"), F.first("keys").alias("keys"))
     classes = materialize(classes, "classes")
     paths = classes.select("sig", "tokens", F.explode("keys").alias("key")).distinct()

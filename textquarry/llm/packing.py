@@ -286,7 +286,7 @@ def slots(patterns: list[Pattern]) -> pd.DataFrame:
 def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents' ids with end_id, cut only where longer than capacity: doc_id, piece, start, length, ids_crc32."""
 
-    def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut(batches: Iterable[dict[str, list]]) -> Iterator[pd.DataFrame]:
         encoder, end = word_ids(path), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = []
@@ -295,11 +295,10 @@ def tokenize_pieces(docs: DataFrame, path: str, capacity: int = 4096, end_id: in
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     rows.append((doc, piece, at // 4, len(own) // 4, zlib.crc32(own)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.assign(doc_id=pd.array([None if pd.isna(x) else int(x) for x in out["doc_id"]], "Int64"))
+            yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"], dtype=object)
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), shared.valid(text).alias("text"))
-    return rows.mapInPandas(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return shared.map_lists(rows, cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, budget: int = NODES) -> DataFrame:

@@ -6,22 +6,33 @@ import gc
 import posixpath
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that are Python objects at a time.
+ROWS = 2048
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The URI in spark.checkpoint.dir; only where that is unset (as in tests), a temporary folder."""
+    """The URI in spark.checkpoint.dir; only where that is unset and all runs in one process (as in tests), a temporary folder."""
     there = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not there:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='textquarry-')}")
         there = spark.sparkContext.getCheckpointDir()
     return there.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return posixpath.join(shared_dir(spark), "textquarry", spark.sparkContext.applicationId)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return posixpath.join(shared_dir(spark), "textquarry", f"{name}-{uuid.uuid4().hex}")
+    return posixpath.join(_own_dir(spark), f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -31,7 +42,51 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files that led here
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def _delete(spark: SparkSession, uri: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize wrote; nothing may read them, or what was derived from them and isn't written, after that."""
+    for df in tables:
+        _delete(df.sparkSession, df.stored_at)
+
+
+def clear(spark: SparkSession) -> None:
+    """Deletes all intermediate tables and files of this application, whose results must have been written or read by then."""
+    _delete(spark, _own_dir(spark))
+
+
+def map_lists(df: DataFrame, work, kinds: str) -> DataFrame:
+    """df.mapInPandas for work that goes row by row: it is given a dict of lists, ROWS rows at a time, and yields pandas frames.
+
+    So a null makes no floating-point numbers of a batch's whole numbers, and texts are Python objects a few at a time.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    schema = to_arrow_schema(StructType.fromDDL(kinds))
+
+    def column(x: pa.Array) -> list:
+        return x.to_numpy().tolist() if not x.null_count and pa.types.is_integer(x.type) else x.to_pylist()
+
+    def lists(batches: Iterable[pa.RecordBatch]) -> Iterator[dict[str, list]]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS):
+                some = batch.slice(i, ROWS)
+                yield {name: column(some.column(k)) for k, name in enumerate(some.schema.names)}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for out in work(lists(batches)):
+            yield pa.RecordBatch.from_pandas(out, schema=schema, preserve_index=False)
+
+    return df.mapInArrow(run, kinds)
 
 
 def file_system(uri: str):
