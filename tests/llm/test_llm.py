@@ -679,25 +679,36 @@ def test_equal_windows_have_one_key(text, width):
 # URLs
 
 
-def test_filter_has_no_false_negatives_and_few_false_positives():
-    rng = np.random.default_rng(1)
-    own, other = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 20000)
-    words = np.zeros((5000 // urls.URLS_IN_BLOCK, urls.WORDS), "uint32")
-    block, bit = urls._marks(own, len(words))
-    for b, m in zip(block, bit, strict=True):
-        words[b] |= m
-    assert urls.may_have(words, own).all() and urls.may_have(words, other).mean() < 0.05
-
-
-@pytest.mark.parametrize("most_bytes", [0, 1 << 20])
-def test_urls(spark, most_bytes):
+def test_filter_has_no_false_negatives_and_few_false_positives(spark):
+    rows = spark.range(25_000).select(F.xxhash64("id").alias("_h"), (F.col("id") < 5000).alias("own"))
+    blocks = 5000 // urls.URLS_IN_BLOCK
+    words = urls.bloom_filter(rows.filter("own").select(F.col("_h").alias("hash")), blocks)
+    assert words.count() <= blocks
+    passed = {r["own"]: r["share"] for r in urls.with_maybe(rows, words, blocks).groupBy("own").agg(F.avg(F.col("maybe").cast("int")).alias("share")).collect()}
+    assert passed[True] == 1 and passed[False] < 0.05
+
+
+@pytest.mark.parametrize("sent", ["-1", "10m"])
+def test_urls(spark, sent):
+    """The same whether the filter is sent to all tasks or dealt by blocks."""
     rows = [(1, "http://A.net/x"), (2, "http://a.example.net/en/y"), (3, "http://example.com/de/"), (4, "https://www.Listed.io/p/?q#f"), (5, None), (6, "no host"), (7, "http://net"), (8, "ftp://xnet/"), (9, "http://q.org/fr/1"), (9, "http://q.org/fr/1"), (None, "http://listed.io:80/p")]
     listed = spark.createDataFrame([("http://listed.io/p",), ("http://listed.io/p/",), (None,)], "url string")
-    out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), listed, most_bytes=most_bytes).collect()
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", sent)
+    try:
+        out = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string"), listed).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     got = sorted([(r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in out], key=str)
     want = [(1, "a.net", "/x", "net/", "block"), (2, "a.example.net", "/en/y", "example.net/en/", "allow"), (3, "example.com", "/de/", "example.com/de/", "block"), (4, "www.listed.io", "/p/", None, "block"), (5, "", "", None, "allow"), (6, "", "", None, "allow"), (7, "net", "", None, "allow"), (8, "xnet", "/", None, "allow"), (9, "q.org", "/fr/1", "org/fr/", "allow"), (9, "q.org", "/fr/1", "org/fr/", "allow"), (0, "listed.io:80", "/p", None, "block")]
     assert got == sorted(want, key=str)
-    assert urls.filter_urls(empty(spark.createDataFrame(rows, "page_id long, url string")), empty(listed), most_bytes=most_bytes).count() == 0
+    assert urls.filter_urls(empty(spark.createDataFrame(rows, "page_id long, url string")), empty(listed)).count() == 0
+
+
+def test_the_list_decides_some_pages(spark):
+    out = urls.op9_url_filters(spark, "/root/testdata/sf0.01").groupBy("listed", F.col("rule").isNull().alias("free")).count().collect()
+    found = {(r["listed"], r["free"]): r["count"] for r in out}
+    assert found[True, True] >= 10 and found[False, True] >= 10
 
 
 # All: nulls, repeats, clashing names, empty tables
