@@ -144,6 +144,14 @@ def test_frequent_lines_leave_the_texts(spark):
     assert len(staged) == 60 and all(staged[i]["text"] == (f"{line}\n" if i == 0 else "") + words(i) and staged[i]["n_chars"] == len(staged[i]["text"]) for i in range(60))
 
 
+def test_limit_is_a_share_of_the_host(spark):
+    text = lambda i: "\n".join(" ".join("abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10] + "uvwxyzabcd"[i // 100] + "x" * k for k in range(9)) + f" {n * 'y'}" for n in range(3))
+    rows = [(i, text(i) + ("\nin one of ten of them" if i % 10 == 0 else "\nonly here and there" if i % 60 == 1 else ""), "big") for i in range(400)]
+    rows += [(1000 + i, text(i) + ("\nin one of ten of them" if i < 5 else ""), "small") for i in range(20)] + [(2000, None, None), (2001, "", None)]
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).filter("removed_words > 0")
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(10, 400, 10))  # 7 of 400 are under the share, 5 of 20 at the least number
+
+
 def test_copies_of_a_row_count_their_lines_once(spark):
     line = "this one line stands on every page of the host and says nothing at all"
     rows = [(i, f"{line}\nword{i}", "a") for i in range(60)] + [(k, f"{line}\n" + " ".join(f"w{i}" for i in range(25)), "a") for k in (70, 70, 70, None, None)]
