@@ -16,11 +16,11 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]+", 0, 20),
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # the runs of at least 24: shorter ones fail
 ]
-#: A candidate is a whole run of these; it needs a letter and a digit.
+#: A candidate is a whole run of these; it needs a letter and a digit, as keys have: without that, long names and links of words pass for secrets.
 CANDIDATE = r"[A-Za-z0-9+/=_-]{20,}"
 #: kind, characters of the class, window, least bits a character. The last class has all of a candidate's characters; a candidate that an earlier one holds whole is left to that.
 CLASSES = [("entropy16", r"^[0-9A-Fa-f]+$", 24, 3.0), ("entropy64", r"^[A-Za-z0-9+/=_-]+$", 20, 3.7)]
-#: Candidates that are no secrets: UUIDs, samples, slugs and paths of plain words, counting rows.
+#: What is no secret: whole candidates (anchored) that are UUIDs, slugs or paths of plain words, and the parts of candidates that are samples or counting rows.
 ALLOWED = [
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"EXAMPLE|[Ee]xample|[Ss]ample|[Pp]laceholder",
@@ -43,17 +43,24 @@ def most_bits(window: int, least: float) -> int:
     return math.floor(window * (math.log2(window) - least) * _SCALE)
 
 
-def _before(lengths: Column) -> Column:
-    """The sum of the lengths before each; by chunks, so that the work isn't quadratic."""
+def _before(values: Column, first: int, step) -> Column:
+    """For each value, what step makes of first and all values before it; by chunks, so that the work isn't quadratic.
 
-    def sums(array: Column) -> Column:
-        return F.aggregate(array, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    step is associative, and first changes nothing.
+    """
+
+    def running(array: Column) -> Column:
+        return F.aggregate(array, F.array(F.lit(first).cast("long")), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
 
     def joined(parts: Column) -> Column:
-        return let(sums(F.transform(parts, lambda p: F.element_at(p, -1))), lambda base: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: v + F.get(base, i)))))
+        return let(running(F.transform(parts, lambda p: F.element_at(p, -1))), lambda base: F.flatten(F.transform(parts, lambda p, i: F.transform(F.slice(p, 1, F.size(p) - 1), lambda v: step(v, F.get(base, i))))))
+
+    return F.when(F.size(values) > 0, let(F.transform(_starts(values), lambda s: running(F.slice(values, s, _CHUNK))), joined)).otherwise(F.array().cast("array<bigint>"))
+
 
-    starts = F.sequence(F.lit(1), F.size(lengths), F.lit(_CHUNK))
-    return F.when(F.size(lengths) > 0, let(F.transform(starts, lambda s: sums(F.slice(lengths, s, _CHUNK))), joined)).otherwise(F.array().cast("array<bigint>"))
+def _starts(array: Column) -> Column:
+    """The place of each chunk's first element, from 1."""
+    return F.sequence(F.lit(1), F.size(array), F.lit(_CHUNK))
 
 
 def _places(text: Column, pattern: str, found: Column) -> Column:
@@ -62,7 +69,7 @@ def _places(text: Column, pattern: str, found: Column) -> Column:
     sizes = F.transform(found, lambda m: F.char_length(m).cast("long"))
 
     def ends(g: Column, s: Column) -> Column:
-        both = _before(F.zip_with(F.slice(g, 1, F.size(s)), s, lambda a, b: a + b))
+        both = _before(F.zip_with(F.slice(g, 1, F.size(s)), s, lambda a, b: a + b), 0, lambda a, b: a + b)
         return F.transform(both, lambda b, i: F.struct((b + F.get(g, i)).alias("start"), (b + F.get(g, i) + F.get(s, i)).alias("end")))
 
     return let(gaps, lambda g: let(sizes, lambda s: ends(g, s)))
@@ -191,19 +198,46 @@ def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     return rows.select("doc_id", secret_spans(F.col("text")).alias("found"))
 
 
-def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
-    """docs with every secret in text, spans that touch or overlap taken as one, replaced by mark. Nulls stay null."""
-    source = F.col(text)
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
+def _joined_spans(spans: Column) -> Column:
+    """The spans, sorted by start, as structs (a, b) of which no two touch or overlap."""
+    until = _before(F.transform(spans, lambda s: s["end"]), -1, F.greatest)
+
+    def merged(u: Column) -> Column:
+        heads = F.filter(F.transform(spans, lambda s, i: F.when(s["start"] > F.get(u, i), i)), lambda i: i.isNotNull())
+        last = F.greatest(F.element_at(u, -1), F.element_at(spans, -1)["end"])
+        return let(heads, lambda hs: F.transform(hs, lambda h, k: F.struct(F.get(spans, h)["start"].alias("a"), F.coalesce(F.get(u, F.get(hs, k + 1)), last).alias("b"))))
+
+    return let(until, merged)
+
 
-    def step(s: Column, x: Column) -> Column:
-        fresh = F.concat(s["out"], F.substring(source, (s["at"] + 1).cast("int"), (x["start"] - s["at"]).cast("int")), F.lit(mark))
-        return F.struct(F.greatest(s["at"], x["end"]).alias("at"), F.when((x["start"] > s["at"]) | (s["at"] == 0), fresh).otherwise(s["out"]).alias("out"))
+def _cut(text: Column, a: Column, b: Column) -> Column:
+    return F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
 
-    def done(s: Column) -> Column:
-        return F.concat(s["out"], F.substring(source, (s["at"] + 1).cast("int"), F.lit(2**31 - 1)))
 
-    return docs.withColumn(text, let(secret_spans(source), lambda spans: F.when(source.isNull() | (F.size(spans) == 0), source).otherwise(F.aggregate(spans, first, step, done))))
+def _without(text: Column, spans: Column, mark: str) -> Column:
+    """The text with each of the spans replaced; it is cut at every _CHUNK-th span first, so that no cut goes through all of it."""
+    size = F.char_length(text).cast("long")
+
+    def part(spans: Column, first: Column) -> Column:
+        own = F.slice(spans, first, _CHUNK)
+        lo = F.coalesce(F.get(spans, first - 2)["b"], F.lit(0).cast("long"))
+        hi = F.when(first + _CHUNK > F.size(spans), size).otherwise(F.element_at(own, -1)["b"])
+
+        def marked(x: Column) -> Column:
+            pieces = F.transform(own, lambda s, i: F.concat(_cut(x, F.coalesce(F.get(own, i - 1)["b"], lo) - lo, s["a"] - lo), F.lit(mark)))
+            return F.concat(F.array_join(pieces, ""), _cut(x, F.element_at(own, -1)["b"] - lo, hi - lo))
+
+        return let(_cut(text, lo, hi), marked)
+
+    return let(spans, lambda all_: F.array_join(F.transform(_starts(all_), lambda s: part(all_, s)), ""))
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
+    """docs with every secret in text, spans that touch or overlap taken as one, replaced by mark. Nulls stay null, repeated rows stay."""
+    source, spans, parts = F.col(text), "_secret_spans", "_secret_parts"
+    found = docs.withColumn(spans, secret_spans(source))
+    found = found.withColumn(parts, F.when(F.size(spans) > 0, _joined_spans(F.col(spans))))
+    return found.withColumn(text, F.when(F.col(parts).isNull() | source.isNull(), source).otherwise(_without(source, F.col(parts), mark))).select(*docs.columns)
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
@@ -219,8 +253,15 @@ def oracle_op1() -> str:
     for rank, (kind, pattern, group, least) in enumerate(BASE):
         p = pattern.replace("'", "''")
         parts.append(f"""select doc_id, {rank} as r, '{kind}' as kind, unnest(regexp_extract_all(text, '{p}')) as m, unnest(regexp_extract_all(text, '{p}', {group})) as v, unnest(string_split_regex(text, '{p}')[:-2]) as g, generate_subscripts(regexp_extract_all(text, '{p}'), 1) as i, {least} as least from d""")
-    allowed = " and ".join(f"not regexp_matches(m, '{p}')" for p in ALLOWED)
-    classes = " ".join(f"when regexp_matches(m, '{members}') then {rank}" for rank, (_, members, _, _) in enumerate(CLASSES, len(BASE)))
+    allowed = " and ".join(f"not regexp_matches(m, '{p}')" for p in ALLOWED if p.startswith("^"))
+    within = "|".join(f"(?:{p})" for p in ALLOWED if not p.startswith("^"))
+    *narrow, _ = CLASSES
+    mixed = "regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]')"
+    runs = " union all ".join(
+        f"select doc_id, i || ':' || j as i, {rank} as class, s, unnest(regexp_extract_all(m, '{run}')) as m, unnest(string_split_regex(m, '{run}')[:-2]) as g, generate_subscripts(regexp_extract_all(m, '{run}'), 1) as k from good"
+        for rank, (_, members, w, _) in enumerate(narrow, len(BASE)) for run in [members.removeprefix("^").removesuffix("+$") + f"{{{w},}}"]
+    )
+    alone = " and ".join(f"not regexp_matches(m, '{members}')" for _, members, _, _ in narrow)
     windows = " ".join(f"when {rank} then {w}" for rank, (_, _, w, _) in enumerate(CLASSES, len(BASE)))
     limits = " ".join(f"when {rank} then {most_bits(w, h)}" for rank, (_, _, w, h) in enumerate(CLASSES, len(BASE)))
     names = " ".join(f"when {rank} then '{kind}'" for rank, kind in enumerate(KINDS))
@@ -230,8 +271,13 @@ def oracle_op1() -> str:
     raw as ({" union all ".join(parts)}),
     placed as (select *, sum(length(g) + length(m)) over (partition by doc_id, r order by i) as e from raw),
     base as (select doc_id, r, e - length(m) as s, e from placed where r < 9 and length(v) >= least),
-    cand as (select *, case {classes} end as class from (select doc_id, i, m, e - length(m) as s from placed where r = 9) where regexp_matches(m, '[0-9]') and regexp_matches(m, '[A-Za-z]') and {allowed}),
-    sized as (select *, case class {windows} end as w, case class {limits} end as most from cand),
+    cand as (select doc_id, i, m, e - length(m) as s from placed where r = 9 and {mixed}),
+    cuts as (select doc_id, i, s, unnest(string_split_regex(m, '{within}')) as m, generate_subscripts(string_split_regex(m, '{within}'), 1) as j, list_concat([''], regexp_extract_all(m, '{within}')) as gone from cand),
+    piece as (select doc_id, i, j, m, s + sum(length(m) + length(gone[j])) over (partition by doc_id, i order by j) - length(m) as s from cuts),
+    good as (select * from piece where {mixed} and {allowed}),
+    run as (select doc_id, i, class, m, s + sum(length(g) + length(m)) over (partition by doc_id, i, class order by k) - length(m) as s, k from ({runs})),
+    part as (select doc_id, i || ':' || class || ':' || k as i, class, m, s from run where {mixed} union all select doc_id, i || ':' || j as i, {len(KINDS) - 1}, m, s from good where {alone}),
+    sized as (select *, case class {windows} end as w, case class {limits} end as most from part),
     win as (select doc_id, i, class, s, w, most, k, substr(m, k + 1, w) as t from (select *, unnest(range(0, length(m) - w + 1)) as k from sized)),
     chars as (select doc_id, i, class, s, w, most, k, unnest(string_split(t, '')) as c from win),
     tally as (select doc_id, i, class, s, w, most, k, c, count(*) as n from chars group by all),
