@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +36,8 @@ MOST_SENT = 100_000
 
 
 def words_of(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SPACES, -1), "")
+    """The words, with A-Z lower-cased and no other letters."""
+    return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), ascii_uppercase, ascii_lowercase), SPACES, -1), "")
 
 
 def _words(text: str) -> list[str]:
@@ -75,7 +78,9 @@ def diagonal_votes(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     """For each row's key columns (all but text) and span: label, template, first and last word of the span, share of the template.
 
     Every k-gram of the texts is joined to the templates' k-grams by hash and words; places with one difference of positions
-    are a diagonal, diagonals at most gap apart are merged, and the share is that of the template's words the span matches.
+    are a diagonal, and diagonals at most gap apart are merged. A span is then verified from its first place to its last: only
+    matches that go on in the template's order count, the share is that of the template's words they cover, and it is 0 where
+    they take more than twice the template's words of the text.
     """
     spark: SparkSession = rows.sparkSession
     keys = [c for c in rows.columns if c != "text"]
@@ -94,9 +99,21 @@ def diagonal_votes(rows: DataFrame, templates: list[tuple[str, str]] = TEMPLATES
     near = Window.partitionBy(*keys, "template").orderBy("diagonal", "at")
     led = hits.withColumn("_new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(near) > gap).cast("int"), F.lit(1)))
     merged = led.withColumn("_span", F.sum("_new").over(near.rowsBetween(Window.unboundedPreceding, 0)))
-    covered = F.size(F.array_distinct(F.flatten(F.transform(F.collect_set("at"), lambda a: F.sequence(a, a + k - 1)))))  # a template's words bound the set
-    spans = merged.groupBy(*keys, "template", "label", "size", "_span").agg(covered.alias("n"), F.min("pos").alias("first"), (F.max("pos") + k - 1).alias("last"))
-    return spans.select(*keys, "label", "template", F.col("first").cast("long"), F.col("last").cast("long"), (F.col("n") / F.col("size")).alias("share"))
+    spans = merged.groupBy(*keys, "template", "label", "size", "_span").agg(F.array_sort(F.collect_set(F.struct("pos", "at"))).alias("_hits"))
+    none = F.struct(F.lit(-1).alias("pos"), F.lit(-k).alias("top"), F.lit(0).alias("n"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def on(s: Column, x: Column) -> Column:
+        """The next hit counts if its place in the template is beyond all before; of hits at one word, the first is looked at."""
+        fresh, ahead = x["pos"] != s["pos"], x["at"] > s["top"]
+        return F.struct(
+            x["pos"].alias("pos"), F.when(fresh & ahead, x["at"]).otherwise(s["top"]).alias("top"), (s["n"] + F.when(fresh & ahead, F.least(F.lit(k), x["at"] - s["top"])).otherwise(0)).alias("n"),
+            F.coalesce(s["first"], x["pos"]).alias("first"), F.when(fresh & ahead, x["pos"]).otherwise(s["last"]).alias("last"),
+        )
+
+    chained = spans.select(*keys, "label", "template", "size", F.aggregate("_hits", none, on).alias("_c"))
+    words = F.col("_c.last") + k - F.col("_c.first")
+    share = F.when(words <= 2 * F.col("size"), F.col("_c.n") / F.col("size")).otherwise(F.lit(0.0))
+    return chained.select(*keys, "label", "template", F.col("_c.first").cast("long").alias("first"), (F.col("_c.last") + k - 1).cast("long").alias("last"), share.alias("share"))
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, share: float = SHARE, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -135,16 +152,18 @@ def oracle_op6() -> str:
     rows = ", ".join(f"({t}, {q(label)}, {size}, {at}, {q(' '.join(w))})" for t, label, size, at, *w in template_grams())
     phrases = " union all ".join(f"select doc_id, i, {q(label)} as label from p where array_to_string(w[i:i + {len(p.split()) - 1}], ' ') = {q(p)}" for p, label in PHRASES)
     return rf"""
-    with w as (select doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '{SPACES}'), lambda x: x <> '') as w from documents),
+    with w as (select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{ascii_uppercase}', '{ascii_lowercase}'), '{SPACES}'), lambda x: x <> '') as w from documents),
     p as (select doc_id, w, unnest(range(1, len(w) + 1)) as i from w),
     base as ({phrases}),
     b as (select doc_id, count(*) as n, min(i) - 1 as first_word, max(i) - 1 as last_word, list_distinct(list(label)) as labels from base group by doc_id),
     t(template, label, size, tp, g) as (values {rows}),
-    h as (select doc_id, template, label, size, tp, i - 1 - tp as diagonal from p join t on array_to_string(w[i:i + {K - 1}], ' ') = g where i <= len(w) - {K - 1}),
+    h as (select doc_id, template, label, size, tp, i - 1 as pos, i - 1 - tp as diagonal from p join t on array_to_string(w[i:i + {K - 1}], ' ') = g where i <= len(w) - {K - 1}),
     l as (select *, case when diagonal - lag(diagonal) over (partition by doc_id, template order by diagonal, tp) <= {GAP} then 0 else 1 end as fresh from h),
     m as (select *, sum(fresh) over (partition by doc_id, template order by diagonal, tp) as span from l),
-    c as (select doc_id, template, label, size, span, count(distinct x) as n from (select *, unnest(range(tp, tp + {K})) as x from m) group by all),
-    s as (select doc_id, max(n / size) as best, list_distinct(list(case when n / size >= {SHARE} then label end)) as labels from c group by doc_id)
+    a as (select doc_id, template, label, size, span, pos, min(tp) as tp from m group by all),
+    z as (select *, coalesce(max(tp) over (partition by doc_id, template, span order by pos rows between unbounded preceding and 1 preceding), -{K}) as top from a),
+    c as (select doc_id, template, label, size, span, case when max(pos) + {K} - min(pos) <= 2 * size then sum(least({K}, tp - top)) / size else 0 end as share from z where tp > top group by doc_id, template, label, size, span),
+    s as (select doc_id, max(share) as best, list_distinct(list(case when share >= {SHARE} then label end)) as labels from c group by doc_id)
     select w.doc_id, len(w)::bigint as n_words, coalesce(b.n, 0) as n_base, b.first_word, b.last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') as base_labels,
       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), list_filter(coalesce(s.labels, []), lambda x: x is not null)))), ','), '') as labels, case when b.n > 0 then 1.0 else coalesce(s.best, 0.0) end::double as score
     from w left join b on w.doc_id = b.doc_id left join s on w.doc_id = s.doc_id"""
