@@ -98,6 +98,41 @@ def test_many_places_and_redaction(spark):
     assert [r[0] for r in secrets.redact(rows).collect()] == ["a [SECRET] b [SECRET]' c", None, "clean", "[SECRET]"]
 
 
+def test_redaction_of_many_spans_by_force(spark):
+    rng = random.Random(9)
+    part = lambda: rng.choice(["token=abcdefgh", "é ", "0a" * 13, "secret:abc123xyz", "AKIA" + "A1B2" * 5, "x", "\n", "Qz7Kp0Lm3Xc9Vb5Ny8RtWq", "password=password=hunter22"])
+    texts = ["".join(part() for _ in range(n)) for n in (1, 5, 40, 300, 2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["found"]] for r in secrets.scan_secrets(rows).collect()}
+    for r in secrets.redact(rows).collect():
+        text, out, at = texts[r["doc_id"]], [], 0
+        for a, b in sorted(found[r["doc_id"]]):
+            if a > at or not out and a == 0:
+                out += [text[at:a], "[SECRET]"]
+            elif not out:
+                out += [text[:a], "[SECRET]"]
+            at = max(at, b)
+        assert r["text"] == "".join(out) + text[at:]
+
+
+def test_secrets_against_sql_on_made_up_texts(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(10)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=_-"
+    run = lambda: "".join(rng.choice(rng.choice([letters, "0123456789abcdef", "0123456789ABCDEF"])) for _ in range(rng.randint(10, 60)))
+    hexes = lambda: "".join(rng.choice("0123456789ABCDEF") for _ in range(rng.randint(20, 50)))
+    part = lambda: rng.choice([run, hexes, lambda: "EXAMPLE", lambda: "0123456789", lambda: " ", lambda: "é", lambda: "token=", lambda: "/", lambda: "key: ", lambda: "some-plain-words/and-more 2024"])()
+    texts = [None, "", *("".join(part() for _ in range(rng.randint(1, 12))) for _ in range(300))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = {r[0]: r[1:] for r in con.sql(f"select doc_id, n_assign, n_access, n_hex, base_sha256, spans from ({secrets.oracle_op1()})").fetchall()}
+    got = {r[0]: tuple(r[1:]) for r in secrets.op1_secret_scans(spark, str(tmp_path)).collect()}
+    assert got == want and sum("entropy64" in x[-1] for x in want.values()) > 20 and sum("entropy16" in x[-1] for x in want.values()) > 20
+
+
 # Quality
 
 
@@ -173,6 +208,31 @@ def test_licenses(spark):
     assert rows[4]["n_words"] == 0 and [p["start"] for p in rows[5]["places"]] == [0, 3]
 
 
+def test_license_spans_are_verified(spark):
+    words = licenses._words(licenses.TEMPLATES[0][1])
+    thirds = [words[i : i + 17] for i in range(0, 51, 17)]
+    far = [f"w{i}" for i in range(3)]
+    texts = ["x y " + " ".join(words) + " z", " ".join(thirds[2] + thirds[1] + thirds[0]), " ".join(w + " so" if i % 12 == 5 else w for i, w in enumerate(words)), "the mit license " * 400, " ".join(words + far) * 2, "ALL RIGHTS RESERVED by K\u212a \u0130"]
+    rows = {r["doc_id"]: r for r in licenses.scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    spans = lambda i: [(x["label"], x["first"], x["last"]) for x in rows[i]["found"]]
+    assert spans(0) == [("mit", 2, 2 + len(words) - 1)] and rows[0]["score"] == 1
+    assert spans(1) == [] and 0 < rows[1]["score"] < 0.5  # all of its words, but not in order
+    assert len(spans(2)) == 1 and spans(2)[0][0] == "mit" and spans(3) == [] and rows[3]["score"] <= 0.6
+    assert [x[0] for x in spans(4)] == ["mit", "mit"] and rows[5]["n_words"] == 6
+
+
+def test_licenses_of_a_text_by_force(spark):
+    """Words and phrases of the query counted one by one."""
+    import re
+
+    base = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{base}/documents.parquet").collect()}
+    for r in licenses.op6_license_scans(spark, base).collect():
+        words = [w for w in re.split(licenses.SPACES, "".join(c.lower() if "A" <= c <= "Z" else c for c in texts[r["doc_id"]])) if w]
+        starts = sorted(i for phrase, _ in licenses.PHRASES for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split())
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(words), len(starts), starts[0] if starts else None, starts[-1] if starts else None)
+
+
 # Tokens, token files
 
 
@@ -185,6 +245,15 @@ def test_ids_like_the_library():
         assert np.frombuffer(word_ids(vocabulary()).ids(text), "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_other_vocabularies_are_used_as_they_are():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    text = "It's  THE   é\n two\tspaces 12x3"
+    assert not word_ids(path).by_words and word_ids(vocabulary()).by_words
+    assert np.frombuffer(word_ids(path).ids(text), "<u4").tolist() == Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids
+
+
 PARTS = ["a", "B", "é", "ß", "µ", "'s", "'", "'RE", "<", "<s>", ">", "1", "²", " ", "\n", "\x0b", "\x1c", "\x85", "\xa0", "\u3000", "\u0301", "İ", "漢", "😀", "\u200d", "×", "\xad", "...", "the", "\x00", "\ufeff"]
 
 

@@ -176,10 +176,10 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     """The documents' ids, in ascending order of key, as files under folder; one row for each file.
 
     Only the key and the text are read. A null key comes first, rows that repeat a key stand by their text's hash, a null
-    text counts as empty. Result: part, seq (the files' order), path, n_docs, n_ids. Ranges of keys are dealt to tasks by a
+    text counts as empty, ill-formed UTF-8 is U+FFFD, and an empty table gives no files. Result: part, seq (the files' order), path, n_docs, n_ids. Ranges of keys are dealt to tasks by a
     sample of the keys, and rows of one key may be split among tasks. A file that a lost task leaves is in no row.
     """
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), shared.valid(text).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))
     end = b"" if end_id is None else struct.pack("<I", end_id)
 

@@ -1,12 +1,14 @@
 """Token ids of whole texts by a tokenizers file, fast where a corpus repeats its words.
 
-The vocabulary here drops white space before it splits, so a text's ids are its words' ids in a row. Each worker keeps
-the ids of recent short words, as bytes, up to a bound; a word of plain Latin-1 letters, digits and marks goes straight to the
-vocabulary's merge model piece by piece, any other word through the whole tokenizer.
+A vocabulary with the steps in WORD_STEPS drops white space before it splits, so a text's ids are its words' ids in a row. Each
+worker keeps the ids of recent short words, as bytes, up to a bound; a word of plain Latin-1 letters, digits and marks goes
+straight to the vocabulary's merge model piece by piece, any other word through the whole tokenizer. A file with any other
+steps is used as it is, a text at a time.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 
@@ -14,7 +16,15 @@ from array import array
 KEPT = 300_000
 LONGEST = 48
 
-# Fixed values of the vocabulary file: what its pre-tokenizer keeps, for Latin-1 text.
+# The steps of a vocabulary file whose ids go by words.
+WORD_STEPS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]},
+}
+# What the Split step keeps, for Latin-1 text.
 _PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z0-9\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+")
 _PLAIN = re.compile(r"[!-;=-~\xa1-\xff]+")
 #: What Python's split() takes for a space beyond the ASCII ones that every tokenizer drops.
@@ -55,9 +65,13 @@ class WordIds:
     def __init__(self, path: str, kept: int = KEPT):
         from tokenizers import Tokenizer
 
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
         self._whole = Tokenizer.from_file(path)
         self._merge = self._whole.model.tokenize
         self._letters = _byte_letters()
+        plain = all(x["content"][:1] == "<" and not x["lstrip"] and not x["rstrip"] and not re.search(r"\s", x["content"]) for x in said["added_tokens"])
+        self.by_words = plain and {k: said[k] for k in WORD_STEPS} == WORD_STEPS
         self._get = _Kept(self._encode, kept).__getitem__
 
     def _encode(self, word: str) -> bytes:
@@ -72,6 +86,8 @@ class WordIds:
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if not self.by_words:
+            return array("I", self._whole.encode(text, add_special_tokens=False).ids).tobytes()
         words = text.split() if not _ODD.search(text) else [w for w in re.split("[ \t\n\r]+", text) if w]
         return b"".join(map(self._get, words))
 
