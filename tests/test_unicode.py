@@ -22,7 +22,20 @@ def u(spark):
 @pytest.fixture(scope="module")
 def rules(u):
     t = u._sent.value
-    return lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), lambda c: kernels.word_breaks(c, t[2], t[3]), t[4]
+    return lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), lambda c: kernels.word_breaks(c, t[2], t[3]), u._width.value
+
+
+def segments(texts, breaks):
+    flat = kernels.flatten(texts)
+    return kernels.segments(flat, breaks(flat.codes)).to_pylist()
+
+
+def widths(texts, rules):
+    return kernels.widths(kernels.flatten(texts), rules[0], rules[2]).tolist()
+
+
+def wrapped(texts, columns, threshold, rules):
+    return kernels.wrap(kernels.flatten(texts), columns, threshold, rules[0], rules[2]).to_pylist()
 
 
 def one(spark, text, *columns):
@@ -42,11 +55,11 @@ def test_decode(data, expected):
 
 @pytest.mark.parametrize(("text", "n"), [(BEAR + "‍" + BEAR, 1), (BEAR + "​" + BEAR, 3), (BEAR + BEAR, 2), ("Hé", 2), ("aΔ👨🏻‍🌾→", 4), ("🇪🇸🇫🇷🇩", 3), ("", 0), ("\r\n\n", 2), ("क्षि", 1), ("각", 1)])
 def test_graphemes(rules, text, n):
-    assert len(kernels.segments([text], rules[0])[0]) == n
+    assert len(segments([text], rules[0])[0]) == n
 
 
 def test_words(rules):
-    found = kernels.segments(["Metonym   Μετωνύμιο メトニム", "don't a:ka fin! 3.14"], rules[1])
+    found = segments(["Metonym   Μετωνύμιο メトニム", "don't a:ka fin! 3.14"], rules[1])
     assert [[x["text"] for x in f] for f in found] == [["Metonym", "   ", "Μετωνύμιο", " ", "メトニム"], ["don't", " ", "a:ka", " ", "fin", "!", " ", "3.14"]]
 
 
@@ -54,8 +67,8 @@ def test_words(rules):
 @settings(max_examples=150, deadline=None)
 def test_segments_cover_each_text_alone(rules, texts):
     for breaks in rules[:2]:
-        together = kernels.segments(texts, breaks)
-        assert together == [kernels.segments([t], breaks)[0] for t in texts]
+        together = segments(texts, breaks)
+        assert together == [segments([t], breaks)[0] for t in texts]
         for text, parts in zip(texts, together, strict=True):
             assert "".join(p["text"] for p in parts) == text
             assert [p["offset"] for p in parts] == [sum(q["len"] for q in parts[:i]) for i in range(len(parts))]
@@ -68,7 +81,7 @@ def test_graphemes_like_another_library(rules, texts):
     import regex
 
     keep = [t for t in texts if not any("\ud800" <= c <= "\udfff" or unicodedata.category(c) in ("Cn", "Co") for c in t)]
-    assert [[p["text"] for p in f] for f in kernels.segments(keep, rules[0])] == [regex.findall(r"\X", t) for t in keep]
+    assert [[p["text"] for p in f] for f in segments(keep, rules[0])] == [regex.findall(r"\X", t) for t in keep]
 
 
 @pytest.mark.parametrize(
@@ -79,7 +92,7 @@ def test_graphemes_like_another_library(rules, texts):
     ],
 )
 def test_width(rules, text, width):
-    assert kernels.widths([text], rules[0], rules[2]).tolist() == [width]
+    assert widths([text], rules) == [width]
 
 
 def test_code_point_widths(spark):
@@ -97,9 +110,25 @@ def test_padding_and_wrap(spark, u, rules):
         one(spark, "123", u.center(t, 2, "-"))
     with pytest.raises(ValueError):
         u.center(t, 9, "‍")
-    width = lambda ws: kernels.widths(ws, rules[0], rules[2])
-    assert kernels.wrap("The quick brown fox\r\njumped over the lazy dog!", 10, 3, width) == "The quick \nbrown fox \njumped \nover the \nlazy dog!"
-    assert [kernels.wrap(x, 10, 3, width) for x in ("ab", "")] == ["ab", ""]
+    assert wrapped(["The quick brown fox\r\njumped over the lazy dog!", "ab", None, ""], 10, 3, rules) == ["The quick \nbrown fox \njumped \nover the \nlazy dog!", "ab", None, ""]
+
+
+def wrap_by_words(text, columns, threshold, rules):
+    out, line = [], 0
+    words = [w for part in text.replace("\r", "\n").split("\n") for w in part.split(" ") if w]
+    for word in words:
+        out.append(word + " ")
+        line += widths([word], rules)[0] + 1
+        if line > columns or columns - line <= threshold:
+            out.append("\n")
+            line = 0
+    return "".join(out)[: -2 if out and out[-1] == "\n" else -1]
+
+
+@given(st.lists(st.text(alphabet="ab \n\r漢\u0301😊\x08\u200d", max_size=40), max_size=5), st.integers(0, 12), st.integers(0, 5))
+@settings(max_examples=200, deadline=None)
+def test_wrap_like_word_by_word(rules, texts, columns, threshold):
+    assert wrapped(texts, columns, threshold, rules) == [wrap_by_words(t, columns, threshold, rules) for t in texts]
 
 
 @pytest.mark.parametrize(
@@ -139,6 +168,89 @@ def test_normal_forms_and_keys(spark):
     assert one(spark, None, C.nfc(t), C.canonical_key(t))[:] == (None, None)
 
 
+def test_code_point_lists(spark):
+    row = spark.createDataFrame([([0xE9, 0x1E0A, 0xACE1, 0x3D3, 0x3189],)], "c array<int>").select(C.nfd_codes(F.col("c")), C.nfkd_codes(F.col("c")), C.fold_codes(F.col("c"))).first()
+    assert row[0] == [0x65, 0x301, 0x44, 0x307, 0x1100, 0x1169, 0x11A8, 0x3D2, 0x301, 0x3189]
+    assert row[1] == [0x65, 0x301, 0x44, 0x307, 0x1100, 0x1169, 0x11A8, 0x3A5, 0x301, 0x1188] and row[2] == [0xE9, 0x1E0B, 0xACE1, 0x3D3, 0x3189]
+    codes = spark.createDataFrame([([],), (None,), ([0x41, 0xD800, 0x110000, -1, 0, 0x1F60A],), ([0xFEFF, 0x61],)], "c array<int>").select(C.from_codes(F.col("c")), C.to_codes(C.from_codes(F.col("c")))).collect()
+    assert [tuple(r) for r in codes] == [("", []), (None, None), ("A\ufffd\ufffd\ufffd\0😊", [0x41, 0xFFFD, 0xFFFD, 0xFFFD, 0, 0x1F60A]), ("\ufeffa", [0xFEFF, 0x61])]
+    assert one(spark, "∅δq🦾ă", C.reverse_code_points(F.col("t")))[0] == "ă🦾qδ∅"
+    pairs = spark.createDataFrame([("foé", "foe\u0301"), ("foϓ", "fo\u03d2\u0301"), ("a", "A"), (None, "a")], "a string, b string")
+    assert [r[0] for r in pairs.select(C.normal_equal(F.col("a"), F.col("b"))).collect()] == [True, True, False, None]
+
+
+def test_peeks_and_flips(spark, u):
+    """Turned at an item, an iteration gives it once more."""
+    x, t = F.col("x"), F.col("t")
+    rows = spark.createDataFrame([("don't a:ka fin!",)], "t string").withColumn("x", u.words(t)).withColumn("h", C.item_at(F.col("x"), 7))
+    text = lambda items: F.transform(items, lambda i: i["text"])
+    row = rows.select(F.col("h.text"), C.peek_ahead(x, F.col("h"))["text"], C.peek_behind(x, F.col("h"))["text"], text(C.flip_back(x, F.col("h"))), text(C.flip_forth(x, F.col("h"))), text(C.before(x, F.col("h"))), text(C.after(x, F.col("h")))).first()
+    assert row[:] == ("a:ka", " ", " ", ["a:ka", " ", "don't"], ["a:ka", " ", "fin", "!"], [" ", "don't"], [" ", "fin", "!"])
+    edges = rows.select(C.peek_behind(x, F.get(x, F.lit(0))), C.peek_ahead(x, F.element_at(x, -1)), text(u.word_reverse(t)), u.grapheme_breaks(F.lit("e\u0301🇪🇸a"))).first()
+    assert edges[0] is None and edges[1] is None and edges[2] == ["!", "fin", " ", "a:ka", " ", "don't"] and edges[3] == [True, False, True, False, True]
+
+
+ILL = ["61FF62", "E180", "", "F09F98", "C0AF", "61E18062"]
+
+
+def test_ill_formed_and_empty_texts(spark, u, rules):
+    """Each longest ill-formed part counts as U+FFFD, in every function; an empty text has nothing."""
+    rows = spark.createDataFrame([(i, bytes.fromhex(x)) for i, x in enumerate(ILL)] + [(9, None)], "id int, b binary").select("id", F.col("b").cast("string").alias("t"))
+    t = F.col("t")
+    want = {i: "".join(chr(x["code"]) for x in kernels.decode(bytes.fromhex(h))) for i, h in enumerate(ILL)}
+    out = rows.select("id", C.valid(t).alias("valid"), u.grapheme_count(t).alias("n"), u.word_count(t).alias("w"), u.display_width(t).alias("wide"), u.words(t).alias("words"), u.graphemes(t).alias("graphemes"), C.nfc(t).alias("nfc"), C.casefold(t).alias("fold"), u.wrap(t, 10, 2).alias("wrap"), u.pad_left(t, 9, "*").alias("pad"), u.count_category(t, "Ll").alias("ll"), u.count_category(t, "So").alias("so"), u.to_upper(t).alias("upper"), C.reverse_code_points(C.valid(t)).alias("back"), u.code_points(t).alias("cps"))
+    for r in out.collect():
+        if r["id"] == 9:
+            assert all(r[c] is None for c in out.columns[1:])
+            continue
+        text = want[r["id"]]
+        assert r["valid"] == r["nfc"] == r["fold"] == r["wrap"] == text and r["n"] == r["wide"] == len(text) and r["so"] == text.count("\ufffd") and r["ll"] == len(text) - r["so"]
+        assert "".join(x["text"] for x in r["words"]) == "".join(x["text"] for x in r["graphemes"]) == text and r["pad"] == "*" * (9 - len(text)) + text
+        assert r["upper"] == text.upper() and r["back"] == text[::-1] and [x["code"] for x in r["cps"]] == [ord(c) for c in text]
+    census = frames.census(spark.createDataFrame([("",), ("a",), (None,)], "t string"), "t", "gc").collect()
+    assert [tuple(r) for r in census] == [("Ll", 1)]
+    assert frames.census(rows.filter("id = 0"), "t", "gc").count() == 2
+
+
+def test_tables_like_pythons(spark):
+    """All code points that Python's tables have, against them: they are of 15.1, and what changed since is named."""
+    t = ucd.tables(spark)
+    gc, known = t.codes["gc"], [c for c in range(ucd.SIZE) if unicodedata.category(chr(c)) != "Cn"]
+    assert [hex(c) for c in known if ucd.GC[gc[c]] != unicodedata.category(chr(c))] == ["0x1171e"]
+    assert [c for c in known if t.codes["ccc"][c] != unicodedata.combining(chr(c))] == []
+    wide = lambda c: unicodedata.east_asian_width(chr(c)) in "WF"
+    changed = [c for c in known if t.flags["wide"][c] != wide(c)]
+    assert len(changed) == 188 and all(0x2630 <= c <= 0x268F or 0x4DC0 <= c <= 0x4DFF or 0x1D300 <= c <= 0x1D37F for c in changed)  # trigrams and hexagrams became wide
+    kind = lambda c: "Decimal" if unicodedata.decimal(chr(c), None) is not None else "Digit" if unicodedata.digit(chr(c), None) is not None else "Numeric" if unicodedata.numeric(chr(c), None) is not None else "none"
+    assert [hex(c) for c in known if ucd.NT[t.codes["nt"][c]] != kind(c)] == []
+    maps = {"canon": {}, "compat": {}}
+    for c in known:
+        if (said := unicodedata.decomposition(chr(c))) and not 0xAC00 <= c < 0xD7A4:
+            parts = said.split()
+            maps["compat" if parts[0][0] == "<" else "canon"][c] = [int(x, 16) for x in parts if x[0] != "<"]
+    for name, want in maps.items():
+        assert {c: to for c, to in getattr(t, name).items() if unicodedata.category(chr(c)) != "Cn"} == want
+    assert {c: to for c, to in t.fold.items() if unicodedata.category(chr(c)) != "Cn"} == {c: [ord(x) for x in chr(c).casefold()] for c in known if chr(c).casefold() != chr(c)}
+    one_to_one = lambda name, f: {c: to for c, to in getattr(t, name).items() if unicodedata.category(chr(c)) != "Cn" and unicodedata.category(chr(to)) != "Cn" and len(f(chr(c))) == 1}
+    assert one_to_one("simple_upper", str.upper) == {c: ord(chr(c).upper()) for c in known if len(chr(c).upper()) == 1 and chr(c).upper() != chr(c)}
+    assert one_to_one("simple_lower", str.lower) == {c: ord(chr(c).lower()) for c in known if len(chr(c).lower()) == 1 and chr(c).lower() != chr(c)}
+    for form, flag in (("NFD", "nfd"), ("NFKD", "nfkd")):
+        assert [c for c in known if not 0xD800 <= c < 0xE000 and t.flags[flag][c] != unicodedata.is_normalized(form, chr(c))] == []
+    assert [c for c in known if not 0xD800 <= c < 0xE000 and t.flags["composition_excluded"][c] == unicodedata.is_normalized("NFC", chr(c))] == []
+    pairs = {(r["first"], r["second"]): r["cp"] for r in ucd.compositions(spark).collect()}
+    assert all(unicodedata.normalize("NFC", chr(a) + chr(b)) == chr(c) for (a, b), c in pairs.items() if unicodedata.category(chr(c)) != "Cn")
+    syllable = lambda c: "L" if 0x1100 <= c < 0x1160 or 0xA960 <= c < 0xA97D else "V" if 0x1160 <= c < 0x11A8 or 0xD7B0 <= c < 0xD7C7 else "T" if 0x11A8 <= c < 0x1200 or 0xD7CB <= c < 0xD7FC else "none" if not 0xAC00 <= c < 0xD7A4 else "LVT" if (c - 0xAC00) % 28 else "LV"
+    assert [c for c in known if ucd.HST[t.codes["hst"][c]] != syllable(c)] == []
+
+
+def test_tables_are_kept_as_plain_arrays(spark, tmp_path):
+    t = ucd.tables(spark)
+    ucd._save(t, str(tmp_path / "t.npz"))
+    again = ucd._load(str(tmp_path / "t.npz"))
+    assert all((again.codes[k] == v).all() for k, v in t.codes.items()) and all((again.flags[k] == v).all() for k, v in t.flags.items())
+    assert (again.scripts, again.simple_upper, again.simple_lower, again.canon, again.compat, again.fold) == (t.scripts, t.simple_upper, t.simple_lower, t.canon, t.compat, t.fold)
+
+
 def test_case(spark, u):
     t = F.col("t")
     for text, upper, lower in (("HELLO, WORLD 2112!", True, False), ("hello, world 2112!", False, True), ("Hello, World 2112!", False, False), ("12", True, True)):
@@ -174,6 +286,12 @@ def test_sql_names(spark):
 
     register(spark)
     assert spark.sql("select grapheme_count('éa'), word_count('a b'), display_width('😊'), to_nfc('é')").first()[:] == (2, 3, 2, "é")
+    row = spark.sql("select casefold('Straße'), canonical_key('É') = canonical_key('é'), compatibility_key('Ａ'), normal_equal('é', 'e\u0301'), simple_upper('straße'), simple_lower('İA'), is_upper_text('AB 1'), is_lower_text('aB'), changes_when_casefolded('ß'), reverse_code_points('añ'), to_nfkd('ﬆ')").first()
+    assert row[:] == ("strasse", True, "a", True, "STRAßE", "ia", True, False, True, "ña", "st")
+    row = spark.sql("select category_counts('aB1')['Ll'], script_counts('aΩ')['Greek'], numeric_type_counts('1²')['Digit'], property_counts('a b')['whitespace'], pad_left('w😊w', 10, '-'), pad_right('abc', 9, '*'), pad_center('123', 8, '-'), pad_center('123', 3, '-'), pad_left('123', 2, '-')").first()
+    assert row[:] == (1, 1, 1, 1, "------w😊w", "abc******", "--123---", "123", None)
+    assert spark.sql("select words('a b')[2].text, graphemes('e\u0301a')[0].len, code_points(X'61FF')[1].code, grapheme_breaks('ab')").first()[:] == ("b", 3, 0xFFFD, [True, True])
+    assert spark.sql("select grapheme_count(cast(X'61FF62' as string)), casefold(null), words(null)").first()[:] == (3, None, None)
 
 
 def test_every_oracle_has_its_query():
@@ -185,9 +303,9 @@ def test_all_words_are_counted(spark, rules, tmp_path):
     spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     want = {}
     for doc, text in texts.items():
-        for part in kernels.segments([text or ""], rules[1])[0]:
+        for part in segments([text or ""], rules[1])[0]:
             if any(unicodedata.category(c)[0] in "LN" for c in part["text"]):
                 want[doc, part["text"]] = want.get((doc, part["text"]), 0) + 1
-    got = queries.QUERIES["all_word_counts"](spark, str(tmp_path)).collect()
+    got = queries.QUERIES["word_counts"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["word"]): r["n"] for r in got} == want and len(got) == len(want)
     assert want[1, "don't"] == 2 and want[1, "e.g"] == want[1, "3.14"] == want[2, "Straße"] == 1 and want[2, "é"] == 2 and want[3, "plain"] == 2

@@ -1,9 +1,9 @@
-"""Unicode functions as columns. Null gives null throughout."""
+"""Unicode functions as columns. Null gives null throughout, and each ill-formed part of a text counts as U+FFFD."""
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,11 @@ CODE_POINT = "array<struct<code:int,len:int,offset:long>>"
 CATEGORIES = {"control": "C", "letter": "L", "mark": "M", "number": "N", "punctuation": "P", "symbol": "S", "separator": "Z"}
 
 
+def valid(text: Column) -> Column:
+    """The text as well-formed UTF-8: each longest ill-formed part is U+FFFD."""
+    return F.make_valid_utf8(text.cast("string"))
+
+
 def is_ascii(text: Column) -> Column:
     return F.octet_length(text) == F.char_length(text)
 
@@ -26,7 +31,7 @@ def is_latin1(text: Column) -> Column:
 
 def _icu(kind: str, method: str, text: Column, *more) -> Column:
     """Spark calls the library's static method in the JVM; the result must be a column of its own before joins and aggregates."""
-    return F.try_reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), text, *map(F.lit, more))
+    return F.when(text.isNotNull(), F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), valid(text), *map(F.lit, more)))
 
 
 def nfc(text: Column) -> Column:
@@ -45,6 +50,11 @@ def nfkd(text: Column) -> Column:
     return _icu("text.Normalizer", "decompose", text, True)
 
 
+def normal_equal(a: Column, b: Column) -> Column:
+    """Whether two texts are equal after NFC."""
+    return nfc(a) == nfc(b)
+
+
 def casefold(text: Column) -> Column:
     """Full case folding."""
     return _icu("lang.UCharacter", "foldCase", text, True)
@@ -59,9 +69,45 @@ def compatibility_key(text: Column) -> Column:
     return nfkd(casefold(nfkd(casefold(nfd(text)))))
 
 
+# Lists of code points
+
+
+def characters(text: Column) -> Column:
+    """The code points as an array of texts."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
 def to_codes(text: Column) -> Column:
     """The code points as an array of numbers."""
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c))
+    return F.transform(characters(text), lambda c: F.ascii(c))
+
+
+def from_codes(codes: Column) -> Column:
+    """The text of an array of code points; what can't be in a text becomes U+FFFD."""
+    fit = F.transform(codes, lambda c: F.when((c >= 0) & (c < 0xD800) | (c > 0xDFFF) & (c < ucd.SIZE), c).otherwise(0xFFFD))
+    digits = F.array_join(F.transform(fit, lambda c: F.lpad(F.hex(c), 8, "0")), "")
+    return F.when(codes.isNotNull(), F.decode(F.unhex(F.concat(F.lit("0000FEFF"), digits)), "UTF-32"))
+
+
+def nfd_codes(codes: Column) -> Column:
+    """The canonical decomposition of an array of code points, in canonical order."""
+    return to_codes(nfd(from_codes(codes)))
+
+
+def nfkd_codes(codes: Column) -> Column:
+    return to_codes(nfkd(from_codes(codes)))
+
+
+def fold_codes(codes: Column) -> Column:
+    """An array of code points with each folded; one may give up to three."""
+    return to_codes(casefold(from_codes(codes)))
+
+
+def reverse_code_points(text: Column) -> Column:
+    return F.array_join(F.reverse(characters(text)), "")
+
+
+# Places among segments or code points
 
 
 def item_at(items: Column, index) -> Column:
@@ -82,70 +128,128 @@ def before(items: Column, item: Column) -> Column:
     return F.reverse(F.filter(items, lambda x: x["offset"] < item["offset"]))
 
 
+def peek_ahead(items: Column, item: Column) -> Column:
+    """What comes next after the item, null at the end."""
+    return starting_at(items, item["offset"] + item["len"])
+
+
+def peek_behind(items: Column, item: Column) -> Column:
+    return F.get(F.filter(items, lambda x: x["offset"] + x["len"] == item["offset"]), F.lit(0))
+
+
+def flip_back(items: Column, item: Column) -> Column:
+    """What an iteration forward gives when it is turned at the item: the item once more, then what precedes it, nearest first."""
+    return F.reverse(F.filter(items, lambda x: x["offset"] <= item["offset"]))
+
+
+def flip_forth(items: Column, item: Column) -> Column:
+    """What an iteration backward gives when it is turned at the item: the item once more, then what follows."""
+    return F.filter(items, lambda x: x["offset"] >= item["offset"])
+
+
+_sent: dict[tuple, object] = {}
+
+
+def _send(spark: SparkSession, key: tuple, make):
+    """A broadcast value, sent once for each application."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _sent:
+        _sent[key] = spark.sparkContext.broadcast(make())
+    return _sent[key]
+
+
 class Unicode:
     """The functions that need property tables. Options change the display width only."""
 
     def __init__(self, spark: SparkSession, cjk: bool = False, c0_width: int | None = None, c1_width: int | None = None):
-        self._spark, self._t = spark, ucd.tables(spark)
-        t = self._t
-        self._sent = spark.sparkContext.broadcast((t.codes["gcb"], t.codes["incb"], t.codes["wb"], t.flags["ext_pict"], t.width(cjk, c0_width, c1_width)))
+        self._t = t = ucd.tables(spark)
+        self._sent = _send(spark, ("breaks",), lambda: (t.codes["gcb"], t.codes["incb"], t.codes["wb"], t.flags["ext_pict"]))
+        self._width = _send(spark, ("width", cjk, c0_width, c1_width), lambda: t.width(cjk, c0_width, c1_width))
+        self._classes = {name: (_send(spark, (name,), lambda name=name: t.codes[name]), size) for name, size in (("gc", len(ucd.GC)), ("nt", len(ucd.NT)), ("script", len(t.scripts)))}
+        self._bits = _send(spark, ("flags",), lambda: sum(t.flags[name].astype("uint16") << np.uint16(i) for i, name in enumerate(ucd.FLAGS)))
+        self._udfs: dict[str, object] = {}
 
     def _class(self, mask: np.ndarray) -> str:
         return ucd.char_class(self._t.ranges(mask))
 
-    def _udf(self, kind: str, work):
-        """work(texts, tables) for the texts of a batch that are there."""
-        sent = self._sent
-
-        @F.pandas_udf(kind)
-        def run(texts: pd.Series) -> pd.Series:
-            there = texts.notna().to_numpy()
-            out = np.full(len(texts), None, dtype=object)
-            found = work(texts[there].tolist(), sent.value) if there.any() else []
-            for i, x in zip(np.flatnonzero(there), found, strict=True):
-                out[i] = x
-            return pd.Series(out)
-
-        return run
+    def udf(self, name: str):
+        """The Arrow function of this name: graphemes, words, grapheme_count, word_count, grapheme_breaks, code_points, display_width, category_counts, numeric_type_counts, script_counts, flag_counts.
+
+        Its text must be well-formed. The same object each time, so that Spark evaluates what is asked for twice once.
+        """
+        if name not in self._udfs:
+            sent, taken = self._sent, self._width
+            grapheme = lambda c: kernels.grapheme_breaks(c, sent.value[0], sent.value[1], sent.value[3])
+            word = lambda c: kernels.word_breaks(c, sent.value[2], sent.value[3])
+
+            def number(values: np.ndarray, flat: kernels.Flat, kind: pa.DataType) -> pa.Array:
+                return pa.array(values, kind, mask=flat.null)
+
+            def many(values: np.ndarray, flat: kernels.Flat) -> pa.Array:
+                return kernels.lists(np.full(len(values), values.shape[1]), pa.array(values.ravel(), pa.int64()), flat.null)
+
+            def classes(which: str):
+                table, n = self._classes[which]
+                return "array<long>", lambda f: many(kernels.class_counts(f, table.value, n), f)
+
+            def breaks(f: kernels.Flat) -> pa.Array:
+                own = np.ones(len(f.codes), bool)
+                own[f.heads] = False
+                return kernels.lists(np.diff(f.heads) - 1, pa.array(grapheme(f.codes)[own]), f.null)
+
+            bits = self._bits
+            work = {
+                "graphemes": lambda: (SEGMENT, lambda f: kernels.segments(f, grapheme(f.codes))),
+                "words": lambda: (SEGMENT, lambda f: kernels.segments(f, word(f.codes))),
+                "grapheme_count": lambda: ("long", lambda f: number(kernels.per_text(grapheme(f.codes), f.heads), f, pa.int64())),
+                "word_count": lambda: ("long", lambda f: number(kernels.per_text(word(f.codes), f.heads), f, pa.int64())),
+                "grapheme_breaks": lambda: ("array<boolean>", breaks),
+                "display_width": lambda: ("int", lambda f: number(kernels.widths(f, grapheme, taken.value), f, pa.int32())),
+                "category_counts": lambda: classes("gc"),
+                "numeric_type_counts": lambda: classes("nt"),
+                "script_counts": lambda: classes("script"),
+                "flag_counts": lambda: ("array<long>", lambda f: many(kernels.flag_counts(f, bits.value, len(ucd.FLAGS)), f)),
+            }
+            if name == "code_points":
+                self._udfs[name] = _arrow(CODE_POINT, kernels.decoded)
+            else:
+                kind, run = work[name]()
+                self._udfs[name] = _arrow(kind, lambda texts: run(kernels.flatten(texts)))
+        return self._udfs[name]
 
     def code_points(self, text: Column) -> Column:
         """Array of struct(code, len, offset) of a text or of bytes that may not be UTF-8."""
-        return self._udf(CODE_POINT, lambda texts, _: map(kernels.decode, texts))(text.cast("binary"))
+        return self.udf("code_points")(text.cast("binary"))
 
     def graphemes(self, text: Column) -> Column:
-        return self._udf(SEGMENT, lambda texts, t: kernels.segments(texts, lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3])))(text)
+        return self.udf("graphemes")(valid(text))
 
     def words(self, text: Column) -> Column:
-        return self._udf(SEGMENT, lambda texts, t: kernels.segments(texts, lambda c: kernels.word_breaks(c, t[2], t[3])))(text)
+        return self.udf("words")(valid(text))
 
-    def grapheme_count(self, text: Column) -> Column:
-        def count(texts, t):
-            codes, heads = kernels.flatten(texts)
-            return kernels.text_counts(kernels.grapheme_breaks(codes, t[0], t[1], t[3]), heads).tolist()
+    def grapheme_breaks(self, text: Column) -> Column:
+        """For each code point, whether a grapheme cluster begins there."""
+        return self.udf("grapheme_breaks")(valid(text))
 
-        return self._udf("long", count)(text)
+    def grapheme_count(self, text: Column) -> Column:
+        return self.udf("grapheme_count")(valid(text))
 
     def word_count(self, text: Column) -> Column:
-        def count(texts, t):
-            codes, heads = kernels.flatten(texts)
-            return kernels.text_counts(kernels.word_breaks(codes, t[2], t[3]), heads).tolist()
-
-        return self._udf("long", count)(text)
+        return self.udf("word_count")(valid(text))
 
     def display_width(self, text: Column) -> Column:
-        return self._udf("int", lambda texts, t: kernels.widths(texts, lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), t[4]).tolist())(text)
+        return self.udf("display_width")(valid(text))
 
     def wrap(self, text: Column, columns: int, threshold: int) -> Column:
-        def run(texts, t):
-            width = lambda words: kernels.widths(words, lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), t[4])
-            return [kernels.wrap(x, columns, threshold, width) for x in texts]
-
-        return self._udf("string", run)(text)
+        """Lines of words; a line ends once it is over the columns, or no further from them than the threshold."""
+        sent, taken = self._sent, self._width
+        grapheme = lambda c: kernels.grapheme_breaks(c, sent.value[0], sent.value[1], sent.value[3])
+        return _arrow("string", lambda texts: kernels.wrap(kernels.flatten(texts), columns, threshold, grapheme, taken.value))(valid(text))
 
     def _padded(self, text: Column, total: int, pad: str, strict: bool, side: str) -> Column:
         width = self.display_width(text)
         t = self._sent.value
-        one = int(kernels.widths([pad], lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), t[4])[0])
+        one = int(kernels.widths(kernels.flatten([pad]), lambda c: kernels.grapheme_breaks(c, t[0], t[1], t[3]), self._width.value)[0])
         if one < 1:
             raise ValueError("the pad has no width")
         room = total - width
@@ -153,16 +257,16 @@ class Unicode:
             half = F.floor(room / 2)
             n = F.floor(half / one).cast("int")
             more = (F.pmod(F.lit(total), F.lit(2)) != F.pmod(width, F.lit(2))).cast("int")
-            out = F.concat(F.repeat(F.lit(pad), n), text, F.repeat(F.lit(pad), n + more))
-            good, bad = half >= one, F.when(room == 0, text)
+            out = F.concat(F.repeat(F.lit(pad), n), valid(text), F.repeat(F.lit(pad), n + more))
+            good, bad = half >= one, F.when(room == 0, valid(text))
         else:
             fill = F.repeat(F.lit(pad), F.floor(room / one).cast("int"))
-            out = F.concat(fill, text) if side == "left" else F.concat(text, fill)
+            out = F.concat(fill, valid(text)) if side == "left" else F.concat(valid(text), fill)
             good, bad = room >= one, None
         error = lambda name: F.raise_error(F.lit(name)).cast("string") if strict else F.lit(None).cast("string")
         chosen = F.when(text.isNull(), F.lit(None).cast("string")).when(room < 0, error("StrTooLong"))
         if bad is not None:
-            chosen = chosen.when(room == 0, text)
+            chosen = chosen.when(room == 0, valid(text))
         return chosen.when(good, out).otherwise(error("PadTooLong"))
 
     def center(self, text: Column, total: int, pad: str, strict: bool = True) -> Column:
@@ -176,7 +280,7 @@ class Unicode:
         return self._padded(text, total, pad, strict, "right")
 
     def _translated(self, text: Column, table: dict[int, int]) -> Column:
-        return F.translate(text, "".join(map(chr, table)), "".join(map(chr, table.values())))
+        return F.translate(valid(text), "".join(map(chr, table)), "".join(map(chr, table.values())))
 
     def to_upper(self, text: Column) -> Column:
         """Simple mappings, one code point for one."""
@@ -195,29 +299,37 @@ class Unicode:
     def changes_when_casefolded(self, text: Column) -> Column:
         return text.rlike(self._class(self._t.flags["cwcf"]))
 
-    def _count(self, text: Column, mask: np.ndarray) -> Column:
-        own = self._spark.sparkContext.broadcast(np.packbits(mask))
+    def word_reverse(self, text: Column) -> Column:
+        """The words from the last to the first."""
+        return F.reverse(self.words(text))
 
-        def count(texts, _):
-            codes, heads = kernels.flatten(texts)
-            marks = np.unpackbits(own.value)[codes]
-            marks[heads] = 0
-            return kernels.text_counts(marks, heads).tolist()
-
-        return self._udf("long", count)(text)
+    def grapheme_reverse(self, text: Column) -> Column:
+        """The grapheme clusters from the last to the first."""
+        return F.reverse(self.graphemes(text))
 
     def count_flag(self, text: Column, name: str) -> Column:
         """Code points of the text with a property of ucd.FLAGS."""
-        return self._count(text, self._t.flags[name])
+        return F.get(self.udf("flag_counts")(valid(text)), F.lit(list(ucd.FLAGS).index(name)))
 
     def count_category(self, text: Column, name: str) -> Column:
         """Code points of a general category (Lu), or of a group: control, letter, mark, number, punctuation, symbol, separator."""
-        prefix = CATEGORIES.get(name, name)
-        return self._count(text, np.isin(self._t.codes["gc"], [i for i, x in enumerate(ucd.GC) if x.startswith(prefix)]))
+        counts, prefix = self.udf("category_counts")(valid(text)), CATEGORIES.get(name, name)
+        out = [F.get(counts, F.lit(i)) for i, x in enumerate(ucd.GC) if x.startswith(prefix)]
+        return sum(out[1:], out[0])
 
     def count_numeric(self, text: Column, name: str) -> Column:
         """Code points of a numeric type: Decimal, Digit or Numeric, which exclude each other."""
-        return self._count(text, self._t.codes["nt"] == ucd.NT.index(name))
+        return F.get(self.udf("numeric_type_counts")(valid(text)), F.lit(ucd.NT.index(name)))
 
     def count_script(self, text: Column, name: str) -> Column:
-        return self._count(text, self._t.codes["script"] == self._t.scripts.index(name))
+        return F.get(self.udf("script_counts")(valid(text)), F.lit(self._t.scripts.index(name)))
+
+
+def _arrow(kind: str, work):
+    """A column function over whole Arrow batches."""
+
+    @F.arrow_udf(kind)
+    def run(texts: pa.Array) -> pa.Array:
+        return work(texts)
+
+    return run

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import canonical_key, compatibility_key, nfc
-from ..sources.ucd import code_points_with_props
+from ..functions.columns import canonical_key, compatibility_key, nfc, valid
+from ..sources.ucd import unicode_props
 
 KEYS = {"nfc": nfc, "canonical": canonical_key, "compatibility": compatibility_key}
 
@@ -17,8 +17,14 @@ def explode_segments(df: DataFrame, segments: Column, *keep: str) -> DataFrame:
 
 
 def census(df: DataFrame, text: str, prop: str, *by: str) -> DataFrame:
-    """Code points by a property, for each group of the by columns; counted on the map side before the shuffle."""
-    return code_points_with_props(df.select(*by, text), text, prop).groupBy(*by, prop).agg(F.count(F.lit(1)).alias("n"))
+    """Code points by a property, for each group of the by columns. Null and empty texts have none.
+
+    Characters are counted first, on the map side before the shuffle; only the few different ones meet the property table.
+    """
+    chars = df.select(*by, F.explode(F.split(valid(F.col(text)), "")).alias("_char")).filter("_char <> ''")
+    found = chars.groupBy(*by, "_char").agg(F.count(F.lit(1)).alias("_n")).withColumn("_cp", F.ascii("_char"))
+    props = unicode_props(df.sparkSession).select(F.col("cp").alias("_of"), F.col(prop).alias("_prop"))
+    return found.join(props, F.col("_cp") == F.col("_of"), "left").groupBy(*by, F.col("_prop").alias(prop)).agg(F.sum("_n").alias("n"))
 
 
 def with_key(df: DataFrame, text: str, kind: str, name: str = "key") -> DataFrame:
@@ -27,6 +33,10 @@ def with_key(df: DataFrame, text: str, kind: str, name: str = "key") -> DataFram
 
 
 def matching_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, kind: str = "canonical", how: str = "inner") -> DataFrame:
-    """An equi-join of texts that match by the kind of key; the key is computed once for each row."""
-    a, b = with_key(left, left_text, kind, "_left_key"), with_key(right, right_text, kind, "_right_key")
+    """An equi-join of texts that match by the kind of key; the key is computed once for each row.
+
+    Rows meet by the key's SHA-256, so that long texts aren't shuffled twice. A null matches nothing.
+    """
+    a = left.withColumn("_left_key", F.sha2(KEYS[kind](F.col(left_text)), 256))
+    b = right.withColumn("_right_key", F.sha2(KEYS[kind](F.col(right_text)), 256))
     return a.join(b, F.col("_left_key") == F.col("_right_key"), how).drop("_left_key", "_right_key")

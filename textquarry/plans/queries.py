@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,22 +32,42 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-def _text_column():
-    return F.col("text")
+#: Characters of a text in SQL, with the number, the bytes and the first byte of each.
 _ROWS = """with s as (select doc_id, text, string_split(text, '') as cs from documents), r as (select doc_id, generate_subscripts(cs, 1) as i, unnest(cs) as ch from s),
     c as (select doc_id, i, ch, unicode(ch) as code, strlen(ch) as len, sum(strlen(ch)) over (partition by doc_id order by i) - strlen(ch) as off from r)"""
 
 
+def _text():
+    return F.col("text")
+
+
 def _sum(items, part):
     return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a + x[part])
 
 
-def _text(items):
-    return F.array_join(F.transform(items, lambda x: x["text"]), "")
+def _joined(items):
+    """All segments with their borders, as a digest."""
+    return F.md5(F.array_join(F.transform(items, lambda x: x["text"]), "\x1f"))
+
+
+def _around(name: str) -> str:
+    """SQL over lists of segments x: the one with byte AT, its neighbours, those after and before, and the iterations turned there."""
+    at = f"list_filter(range(1, {AT} + 2), lambda k: strlen(array_to_string(x[1:k], '')) > {AT})[1]"
+    md5 = lambda part: f"case when i is not null then md5(array_to_string({part}, chr(31))) end"
+    return f"""h as (select doc_id, x, case when strlen(array_to_string(x[1:{AT + 1}], '')) > {AT} then {at} end as i from {name})
+    select doc_id, x[i] as here, x[i + 1] as ahead, case when i > 1 then x[i - 1] end as behind, len(x) - i as n_after, i - 1 as n_before,
+      {md5("x[i + 1:]")} as after, {md5("case when i > 1 then list_reverse(x[1:i - 1]) else [] end")} as before, {md5("list_reverse(x[1:i])")} as back, {md5("x[i:]")} as forth from h"""
 
 
-def _bytes(items):
-    return F.coalesce(_sum(items, "len"), F.lit(0))
+def _placed(rows: DataFrame) -> DataFrame:
+    """The same of rows with doc_id and segments x."""
+    x, h = F.col("x"), F.col("h")
+    rows = rows.withColumn("h", C.item_at(x, AT)).withColumn("a", C.after(x, h)).withColumn("b", C.before(x, h))
+    there = lambda c: F.when(h.isNotNull(), c)
+    return rows.select(
+        "doc_id", h["text"].alias("here"), C.peek_ahead(x, h)["text"].alias("ahead"), C.peek_behind(x, h)["text"].alias("behind"), there(F.size("a")).cast("long").alias("n_after"), there(F.size("b")).cast("long").alias("n_before"),
+        there(_joined(F.col("a"))).alias("after"), there(_joined(F.col("b"))).alias("before"), there(_joined(C.flip_back(x, h))).alias("back"), there(_joined(C.flip_forth(x, h))).alias("forth"),
+    )
 
 
 # Code points
@@ -54,43 +75,47 @@ def _bytes(items):
 
 @query(f"{_ROWS} select doc_id, count(*) as n, sum(code)::bigint as codes, sum(len)::bigint as bytes, sum(off)::bigint as offsets from c group by doc_id")
 def cp_iterate(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).code_points(_text_column()).alias("x"))
+    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).code_points(_text()).alias("x"))
     return rows.select("doc_id", F.size("x").cast("long").alias("n"), _sum(F.col("x"), "code").alias("codes"), _sum(F.col("x"), "len").alias("bytes"), _sum(F.col("x"), "offset").alias("offsets"))
 
 
 @query(f"{_ROWS} select s.doc_id, c.code, c.len from s left join c on s.doc_id = c.doc_id and off = {AT}")
 def cp_at_index(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.starting_at(C.Unicode(spark).code_points(_text_column()), AT).alias("x"))
+    rows = _docs(spark, sf_dir).select("doc_id", C.starting_at(C.Unicode(spark).code_points(_text()), AT).alias("x"))
     return rows.select("doc_id", "x.code", "x.len")
 
 
 @query(f"{_ROWS} select s.doc_id, c.code, c.off::bigint as off, hex(encode(c.ch)) as bytes from s left join c on s.doc_id = c.doc_id and off <= {AT} and {AT} < off + len")
 def cp_containing(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", "text", C.item_at(C.Unicode(spark).code_points(_text_column()), AT).alias("x"))
-    return rows.select("doc_id", "x.code", F.col("x.offset").alias("off"), F.hex(F.substring(_text_column().cast("binary"), (F.col("x.offset") + 1).cast("int"), F.col("x.len"))).alias("bytes"))
+    rows = _docs(spark, sf_dir).select("doc_id", "text", C.item_at(C.Unicode(spark).code_points(_text()), AT).alias("x"))
+    return rows.select("doc_id", "x.code", F.col("x.offset").alias("off"), F.hex(F.substring(_text().cast("binary"), (F.col("x.offset") + 1).cast("int"), F.col("x.len"))).alias("bytes"))
 
 
 @query(f"{_ROWS} select doc_id, sum(nxt)::bigint as ahead, sum(prv)::bigint as behind from (select doc_id, lead(code) over w as nxt, lag(code) over w as prv from c window w as (partition by doc_id order by i)) group by doc_id")
 def cp_peek(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).code_points(_text_column()).alias("x"))
+    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).code_points(_text()).alias("x"))
     some = lambda s: F.when(F.size("x") > 1, _sum(s, "code"))
     return rows.select("doc_id", some(F.slice("x", 2, F.greatest(F.size("x") - 1, F.lit(0)))).alias("ahead"), some(F.slice("x", 1, F.greatest(F.size("x") - 1, F.lit(0)))).alias("behind"))
 
 
-@query("select doc_id, md5(array_to_string(list_reverse(string_split(text, '')), '')) as reversed, array_to_string(list_reverse(string_split(text, '')[1:5]), '') as back, array_to_string(string_split(text, '')[5:9], '') as forth from documents")
+@query(f"""with c as (select doc_id, string_split(text, '') as x from documents), h as (select doc_id, x, list_filter(range(1, {AT} + 2), lambda k: strlen(array_to_string(x[1:k], '')) > {AT})[1] as i from c)
+    select doc_id, md5(array_to_string(list_reverse(x), '')) as reversed, case when i is not null then md5(array_to_string(list_transform(list_reverse(x[1:i]), lambda y: unicode(y)::varchar), ' ')) end as back,
+      case when i is not null then md5(array_to_string(list_transform(x[i:], lambda y: unicode(y)::varchar), ' ')) end as forth from h""")
 def cp_reverse_and_flip(spark, sf_dir):
-    chars = F.split(_text_column(), "")
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(F.reverse(chars), "")).alias("reversed"), F.array_join(F.reverse(F.slice(chars, 1, 5)), "").alias("back"), F.array_join(F.slice(chars, 5, 5), "").alias("forth"))
+    """The text reversed, and iterations turned at the code point with byte AT: that once more, and all before or after it."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", C.Unicode(spark).code_points(_text()).alias("x")).withColumn("h", C.item_at(F.col("x"), AT))
+    codes = lambda items: F.when(F.col("h").isNotNull(), F.md5(F.array_join(F.transform(items, lambda i: i["code"].cast("string")), " ")))
+    return rows.select("doc_id", F.md5(C.reverse_code_points(_text())).alias("reversed"), codes(C.flip_back(F.col("x"), F.col("h"))).alias("back"), codes(C.flip_forth(F.col("x"), F.col("h"))).alias("forth"))
 
 
 @query("select doc_id, strlen(text) = length(text) as is_ascii, not regexp_matches(text, '[^\\x{0}-\\x{100}]') as is_latin1 from documents")
 def ascii_and_latin1(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", C.is_ascii(_text_column()).alias("is_ascii"), C.is_latin1(_text_column()).alias("is_latin1"))
+    return _docs(spark, sf_dir).select("doc_id", C.is_ascii(_text()).alias("is_ascii"), C.is_latin1(_text()).alias("is_latin1"))
 
 
 @query("select doc_id, length(regexp_replace(text, '[^©®‼⁉™ℹ]', '', 'g'))::bigint as n from documents")
 def extended_pictographic(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).count_flag(_text_column(), "ext_pict").cast("long").alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).count_flag(_text(), "ext_pict").cast("long").alias("n"))
 
 
 # Grapheme clusters
@@ -98,72 +123,86 @@ def extended_pictographic(spark, sf_dir):
 
 @query("select doc_id, length_grapheme(text)::bigint as n from documents")
 def grapheme_count(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).grapheme_count(_text_column()).alias("n"))
+    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).grapheme_count(_text()).alias("n"))
 
 
-@query("select doc_id, length_grapheme(text)::bigint as n, md5(text) as whole, strlen(text)::bigint as bytes from documents")
+@query("select doc_id, length_grapheme(text)::bigint as n, md5(array_to_string(string_split(text, ''), chr(31))) as parts, strlen(text)::bigint as bytes, length_grapheme(text)::bigint as n_breaks from documents")
 def grapheme_segments(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).graphemes(_text_column()).alias("x"))
-    return rows.select("doc_id", F.size("x").cast("long").alias("n"), F.md5(_text(F.col("x"))).alias("whole"), _bytes(F.col("x")).alias("bytes"))
+    """All clusters, and how many breaks the rules decide on, code point by code point."""
+    u = C.Unicode(spark)
+    rows = _docs(spark, sf_dir).select("doc_id", u.graphemes(_text()).alias("x"), u.grapheme_breaks(_text()).alias("y"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), _joined(F.col("x")).alias("parts"), F.coalesce(_sum(F.col("x"), "len"), F.lit(0)).alias("bytes"), F.size(F.filter("y", lambda b: b)).cast("long").alias("n_breaks"))
 
 
-@query("select doc_id, md5(reverse(text)) as reversed from documents")
+@query("select doc_id, md5(array_to_string(list_reverse(string_split(text, '')), chr(31))) as reversed from documents")
 def grapheme_reverse(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", F.md5(_text(F.reverse(C.Unicode(spark).graphemes(_text_column())))).alias("reversed"))
+    return _docs(spark, sf_dir).select("doc_id", _joined(C.Unicode(spark).grapheme_reverse(_text())).alias("reversed"))
 
 
-@query(f"""{_ROWS}, h as (select doc_id, i, ch, off, len from c where off <= {AT} and {AT} < off + len)
-    select s.doc_id, h.ch as here, n.ch as ahead, p.ch as behind, length_grapheme(s.text) - h.i as n_after, h.i - 1 as n_before
-    from s left join h on s.doc_id = h.doc_id left join c n on n.doc_id = s.doc_id and n.i = h.i + 1 left join c p on p.doc_id = s.doc_id and p.i = h.i - 1""")
+@query(f"with g as (select doc_id, string_split(text, '') as x from documents), {_around('g')}")
 def grapheme_around(spark, sf_dir):
-    """At a byte, peeked at both ways, and iterated after and before."""
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).graphemes(_text_column()).alias("x"))
-    rows = rows.withColumn("h", C.item_at(F.col("x"), AT)).withColumn("a", C.after(F.col("x"), F.col("h"))).withColumn("b", C.before(F.col("x"), F.col("h")))
-    count = lambda c: F.when(F.col("h").isNotNull(), F.size(c)).cast("long")
-    return rows.select("doc_id", F.col("h.text").alias("here"), F.get("a", F.lit(0))["text"].alias("ahead"), F.get("b", F.lit(0))["text"].alias("behind"), count("a").alias("n_after"), count("b").alias("n_before"))
+    """At a byte, peeked at both ways, iterated after and before, and turned there."""
+    return _placed(_docs(spark, sf_dir).select("doc_id", C.Unicode(spark).graphemes(_text()).alias("x")))
 
 
 @query(f"{_ROWS} select doc_id, i - 1 as pos, off::bigint as offset, len::bigint as len, ch as text from c")
 def grapheme_rows(spark, sf_dir):
-    out = frames.explode_segments(_docs(spark, sf_dir).withColumn("x", C.Unicode(spark).graphemes(_text_column())).drop("text"), F.col("x"), "doc_id")
+    out = frames.explode_segments(_docs(spark, sf_dir).withColumn("x", C.Unicode(spark).graphemes(_text())).drop("text"), F.col("x"), "doc_id")
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
+#: Neighbours of a character: a letter, Hangul of each kind, a flag letter, a family without its end.
+_CONTEXTS = {"after_a": ("a", ""), "before_a": ("", "a"), "after_l": ("ᄀ", ""), "after_lv": ("가", ""), "after_lvt": ("각", ""), "after_flag": ("\U0001f1e6", ""), "before_extend": ("", "\u0301")}
+
+
+@query("select cp::int as cp, " + ", ".join(f"length_grapheme('{a}' || chr(cp::int) || '{b}')::bigint as {name}" for name, (a, b) in _CONTEXTS.items()) + " from range(1, 1114112) r(cp) where cp not between 55296 and 57343 and regexp_matches(chr(cp::int), '[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}\\p{Z}]')")
+def grapheme_contexts(spark, sf_dir):
+    """How many clusters each character makes beside others; of the characters that Unicode 15.0 has, but for the C categories."""
+    u = C.Unicode(spark)
+    props = ucd.unicode_props(spark).filter("is_in_15 and not gc like 'C%'").select("cp", C.from_codes(F.array("cp")).alias("t"))
+    return props.select("cp", *[u.grapheme_count(F.concat(F.lit(a), "t", F.lit(b))).alias(name) for name, (a, b) in _CONTEXTS.items()])
+
+
 # Words
 
 
-@query("select doc_id, md5(text) as whole, strlen(text)::bigint as bytes, true as counted from documents")
+def _word_pattern() -> str:
+    """The rules for words as a pattern, for scripts that write spaces between words: CR LF, other line ends, spaces, words of
+    letters, numbers and what joins them, and any other character; marks and format characters go with what is before them."""
+    more = r"[\p{M}\p{Cf}]*"
+    one = lambda names: f"[{names}]{more}"
+    letter, number, low = one(r"\p{L}"), one(r"\p{Nd}"), one(r"\p{Pc}")
+    both = r".\x{2018}\x{2019}\x{2024}'"
+    of_letters, of_numbers = one(r":\x{b7}\x{387}\x{2027}" + both), one(r",;\x{37e}\x{2044}" + both)
+    word = f"(?:{letter}(?:(?:{of_letters})?{letter})*|{number}(?:(?:{of_numbers})?{number})*|(?:{low})+)+"
+    return rf"(?s)\r\n|[\n\r\x0b\x0c\x{{85}}\x{{2028}}\x{{2029}}]|[ \x{{2000}}-\x{{2006}}\x{{2008}}-\x{{200a}}\x{{3000}}]+{more}|{word}|.{more}".replace("'", "''")
+
+
+_WORDS = f"w as (select doc_id, regexp_extract_all(text, '{_word_pattern()}') as x from documents)"
+
+
+@query(f"with {_WORDS} select doc_id, len(x)::bigint as n, md5(array_to_string(x, chr(31))) as parts, list_sum(list_transform(x, lambda y: strlen(y)))::bigint as bytes, len(x)::bigint as counted from w")
 def word_segments(spark, sf_dir):
     u = C.Unicode(spark)
-    rows = _docs(spark, sf_dir).select("doc_id", u.words(_text_column()).alias("x"), u.word_count(_text_column()).alias("n"))
-    return rows.select("doc_id", F.md5(_text(F.col("x"))).alias("whole"), _bytes(F.col("x")).alias("bytes"), (F.size("x") == F.col("n")).alias("counted"))
+    rows = _docs(spark, sf_dir).select("doc_id", u.words(_text()).alias("x"), u.word_count(_text()).alias("counted"))
+    return rows.select("doc_id", F.size("x").cast("long").alias("n"), _joined(F.col("x")).alias("parts"), _sum(F.col("x"), "len").alias("bytes"), "counted")
 
 
-@query("select doc_id, md5(array_to_string(list_reverse(string_split(text, '')), '')) as reversed from documents")
+@query(f"with {_WORDS} select doc_id, md5(array_to_string(list_reverse(x), chr(31))) as reversed from w")
 def word_reverse(spark, sf_dir):
-    back = F.transform(F.reverse(C.Unicode(spark).words(_text_column())), lambda x: F.reverse(x["text"]))
-    return _docs(spark, sf_dir).select("doc_id", F.md5(F.array_join(back, "")).alias("reversed"))
+    return _docs(spark, sf_dir).select("doc_id", _joined(C.Unicode(spark).word_reverse(_text())).alias("reversed"))
 
 
-@query(f"select doc_id, case when strlen(text) > {AT} then strlen(text)::bigint end as bytes, case when strlen(text) > {AT} then true end as holds from documents")
+@query(f"with {_WORDS}, {_around('w')}")
 def word_around(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).words(_text_column()).alias("x")).withColumn("h", C.item_at(F.col("x"), AT))
-    h = F.col("h")
-    return rows.select("doc_id", (_bytes(C.before(F.col("x"), h)) + h["len"] + _bytes(C.after(F.col("x"), h))).alias("bytes"), ((h["offset"] <= AT) & (h["offset"] + h["len"] > AT)).alias("holds"))
+    """At a byte, peeked at both ways, iterated after and before, and turned there."""
+    return _placed(_docs(spark, sf_dir).select("doc_id", C.Unicode(spark).words(_text()).alias("x")))
 
 
-@query("select doc_id, word, count(*) as n from (select doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{3,}')) as word from documents where strlen(text) = length(text) and not regexp_matches(text, '[0-9_:.''’·][A-Za-z]|[A-Za-z][0-9_:.''’·]+[0-9A-Za-z_]') ) group by doc_id, word")
+@query(f"with {_WORDS} select doc_id, word, count(*) as n from (select doc_id, unnest(x) as word from w) where regexp_matches(word, '[\\p{{L}}\\p{{N}}]') group by doc_id, word")
 def word_counts(spark, sf_dir):
-    """Words of at least three ASCII letters, where no rule but that of letters applies: the part that SQL can check. all_word_counts has the rest."""
-    docs = _docs(spark, sf_dir).filter(C.is_ascii(_text_column()) & ~_text_column().rlike(r"[0-9_:.'’·][A-Za-z]|[A-Za-z][0-9_:.'’·]+[0-9A-Za-z_]"))
-    rows = frames.explode_segments(docs.withColumn("x", C.Unicode(spark).words(_text_column())).drop("text"), F.col("x"), "doc_id")
-    return rows.filter(F.col("text").rlike("^[A-Za-z]{3,}$")).groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query()
-def all_word_counts(spark, sf_dir):
     """All words of all documents: the segments with a letter or a number, counted by document."""
-    rows = frames.explode_segments(_docs(spark, sf_dir).withColumn("x", C.Unicode(spark).words(_text_column())).drop("text"), F.col("x"), "doc_id")
+    rows = frames.explode_segments(_docs(spark, sf_dir).withColumn("x", C.Unicode(spark).words(_text())).drop("text"), F.col("x"), "doc_id")
     return rows.filter(F.col("text").rlike(r"[\p{L}\p{N}]")).groupBy("doc_id", F.col("text").alias("word")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -186,19 +225,19 @@ def _counts(name: str, parts: list[tuple[str, str, Callable]]) -> None:
 
 
 def _category(name: str):
-    return lambda u: u.count_category(_text_column(), name)
+    return lambda u: u.count_category(_text(), name)
 
 
 def _flag(name: str):
-    return lambda u: u.count_flag(_text_column(), name)
+    return lambda u: u.count_flag(_text(), name)
 
 
 def _numeric(name: str):
-    return lambda u: u.count_numeric(_text_column(), name)
+    return lambda u: u.count_numeric(_text(), name)
 
 
 def _script(name: str):
-    return lambda u: u.count_script(_text_column(), name)
+    return lambda u: u.count_script(_text(), name)
 
 
 _counts("general_category", [(f"n_{x.lower()}", rf"\p{{{x}}}", _category(x)) for x in ("Lu", "Ll", "Lt", "Lm", "Lo", "Mn", "Mc", "Nd", "Nl", "No", "Zs", "Cc", "Pd", "Ps", "Pe", "Pc", "Po", "Pi", "Pf", "Sm", "Sc", "Sk", "So")])
@@ -226,14 +265,68 @@ def script_census(spark, sf_dir):
     return frames.census(spark.read.parquet(f"{sf_dir}/documents.parquet"), "text", "script", "lang")
 
 
-@query()
+_CPS = "range(1, 1114112) r(cp)"
+# What the tables hold for code points, as ranges.
+_DIGITS = [(0xB2, 0xB3), (0xB9, 0xB9), (0x1369, 0x1371), (0x19DA, 0x19DA), (0x2070, 0x2070), (0x2074, 0x2079), (0x2080, 0x2089), (0x2460, 0x2468), (0x2474, 0x247C), (0x2488, 0x2490), (0x24EA, 0x24EA), (0x24F5, 0x24FD), (0x24FF, 0x24FF), (0x2776, 0x277E), (0x2780, 0x2788), (0x278A, 0x2792), (0x10A40, 0x10A43), (0x10E60, 0x10E68), (0x11052, 0x1105A), (0x1F100, 0x1F10A)]
+_SPACES = [(9, 13), (32, 32), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)]
+_HEX = [(0x30, 0x39), (0x41, 0x46), (0x61, 0x66), (0xFF10, 0xFF19), (0xFF21, 0xFF26), (0xFF41, 0xFF46)]
+_HANGUL = {"L": [(0x1100, 0x115F), (0xA960, 0xA97C)], "V": [(0x1160, 0x11A7), (0xD7B0, 0xD7C6)], "T": [(0x11A8, 0x11FF), (0xD7CB, 0xD7FB)]}
+#: Code points whose simple mapping leads out of Unicode 15.0, or that the SQL engine maps in its own way.
+_OWN_CASE = [0xDF, 0x19B, 0x264]
+
+
+def _in(ranges: list[tuple[int, int]]) -> str:
+    return "(" + " or ".join(f"cp between {a} and {b}" for a, b in ranges) + ")"
+
+
+def _class_of(classes: list[str], other: str) -> str:
+    return "case " + " ".join(f"when regexp_matches(ch, '\\p{{{x}}}') then '{x}'" for x in classes) + f" else {other} end"
+
+
+#: The one character whose general category is another in 16.0 than in 15.0.
+_CHANGED = 0x1171E
+#: Scripts of most characters first; those of two words or more aren't known to the SQL engine by our names alone.
+_SCRIPTS = "Han Hangul Common Latin Inherited Arabic Yi Greek Cyrillic Ethiopic Tangut Cuneiform Braille Hebrew Armenian Devanagari Bengali Tamil Telugu Kannada Malayalam Sinhala Thai Lao Tibetan Myanmar Georgian Cherokee Runic Khmer Mongolian Hiragana Katakana Bopomofo Gothic Coptic Vai Bamum".split()
+
+
+@query(f"""with c as (select cp::int as cp, case when cp between 55296 and 57343 then '' else chr(cp::int) end as ch from {_CPS})
+    select cp, case when ch = '' then 'Cs' when cp = {_CHANGED} then 'Mc' else {_class_of([x for x in ucd.GC if x not in ("Cn", "Cs")], "'Cn'")} end as gc,
+      case when ch = '' or not regexp_matches(ch, '[\\p{{L}}\\p{{M}}\\p{{N}}\\p{{P}}\\p{{S}}\\p{{Z}}\\p{{Cc}}\\p{{Cf}}]') then null else {_class_of(_SCRIPTS, "null")} end as script,
+      case when ch = '' or not regexp_matches(ch, '\\p{{N}}') then null when regexp_matches(ch, '\\p{{Nd}}') then 'Decimal' when {_in(_DIGITS)} then 'Digit' else 'Numeric' end as numeric_type,
+      case {" ".join(f"when {_in(r)} then '{k}'" for k, r in _HANGUL.items())} when cp between 44032 and 55203 then case when (cp - 44032) % 28 = 0 then 'LV' else 'LVT' end else 'none' end as hangul,
+      case when ch = '' or cp in ({", ".join(map(str, _OWN_CASE))}) then cp else unicode(upper(ch)) end as simple_upper, case when ch = '' then cp else unicode(lower(ch)) end as simple_lower,
+      {_in(_SPACES)} as whitespace, {_in(_HEX)} as hex_digit, ch <> '' and nfc_normalize(ch) <> ch as nfc_changes from c""")
 def property_table(spark, sf_dir):
-    """The table that GBP, WBP, INCB, Hangul types, combining classes, quick checks, widths and simple cases are looked up in."""
-    return ucd.unicode_props(spark)
+    """Properties of all code points as of Unicode 15.0, which is what the SQL engine knows: later characters are unassigned; the scripts named above.
+
+    The same table, as of 16.0, serves breaks, widths, combining classes and quick checks; tests compare it with Python's.
+    """
+    old = F.col("is_in_15")
+    props = ucd.unicode_props(spark).filter("cp > 0")
+    case = lambda name: F.when(old & ~F.col("cp").isin(_OWN_CASE), F.col(name)).otherwise(F.col("cp")).alias(name)
+    return props.select(
+        "cp", F.when(old, F.col("gc")).otherwise("Cn").alias("gc"), F.when(old & F.col("script").isin(_SCRIPTS), F.col("script")).alias("script"), F.when(old & F.col("gc").like("N%"), F.col("numeric_type")).alias("numeric_type"),
+        "hangul", case("simple_upper"), case("simple_lower"), F.col("is_whitespace").alias("whitespace"), F.col("is_hex_digit").alias("hex_digit"), F.col("is_composition_excluded").alias("nfc_changes"),
+    )
+
+
+# The second characters of canonical compositions in Unicode 15.0.
+_SECONDS = [0x300, 0x301, 0x302, 0x303, 0x304, 0x306, 0x307, 0x308, 0x309, 0x30A, 0x30B, 0x30C, 0x30F, 0x311, 0x313, 0x314, 0x31B, 0x323, 0x324, 0x325, 0x326, 0x327, 0x328, 0x32D, 0x32E, 0x330, 0x331, 0x338, 0x342, 0x345, 0x653, 0x654, 0x655, 0x93C, 0x9BE, 0x9D7, 0xB3E, 0xB56, 0xB57, 0xBBE, 0xBD7, 0xC56, 0xCC2, 0xCD5, 0xCD6, 0xD3E, 0xD57, 0xDCA, 0xDCF, 0xDDF, 0x102E, 0x1B35, 0x3099, 0x309A, 0x110BA, 0x11127, 0x1133E, 0x11357, 0x114B0, 0x114BA, 0x114BD, 0x115AF, 0x11930]
+
+
+@query(f"""with b as (select unnest([{", ".join(map(str, _SECONDS))}])::int as second), a as (select cp::int as first from {_CPS} where cp not between 44032 and 57343 and regexp_matches(chr(cp::int), '[\\p{{L}}\\p{{M}}\\p{{S}}]') and not regexp_matches(chr(cp::int), '\\p{{Han}}')),
+    p as (select first, second, nfc_normalize(chr(first) || chr(second)) as one from a, b),
+    o as (select nfc_normalize(chr(9676) || string_agg(chr(second), '' order by second)) as marks from b)
+    select first, second, unicode(one) as cp from p, o where length(one) = 1 qualify row_number() over (partition by one order by strpos(marks, chr(second)) desc) = 1""")
+def compositions(spark, sf_dir):
+    """Pairs that become one character, of those in Unicode 15.0; of several for one character the pair that ends with the mark that comes last. Hangul goes by arithmetic."""
+    old = ucd.unicode_props(spark).filter("is_in_15").select(F.col("cp").alias("known"))
+    return ucd.compositions(spark).join(old, F.col("cp") == F.col("known")).select("first", "second", "cp")
 
 
 @query()
 def mappings(spark, sf_dir):
+    """All decompositions and foldings; tests compare them with Python's tables."""
     out = ucd.compositions(spark).select(F.lit("composition").alias("kind"), "cp", F.array("first", "second").alias("to"))
     for name in ("canon", "compat", "fold"):
         out = out.unionByName(ucd.mapping(spark, name).select(F.lit(name).alias("kind"), "cp", "to"))
@@ -246,55 +339,83 @@ def mappings(spark, sf_dir):
 @query("select doc_id, md5(replace(upper(text), 'ẞ', 'ß')) as upper, md5(lower(text)) as lower from documents")
 def simple_case(spark, sf_dir):
     u = C.Unicode(spark)
-    return _docs(spark, sf_dir).select("doc_id", F.md5(u.to_upper(_text_column())).alias("upper"), F.md5(u.to_lower(_text_column())).alias("lower"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(u.to_upper(_text())).alias("upper"), F.md5(u.to_lower(_text())).alias("lower"))
 
 
 @query("select doc_id, not regexp_matches(text, '[\\p{Ll}\\p{Lt}ªº]') as is_upper, not regexp_matches(text, '[\\p{Lu}\\p{Lt}]') as is_lower from documents")
 def case_predicates(spark, sf_dir):
     u = C.Unicode(spark)
-    return _docs(spark, sf_dir).select("doc_id", u.is_upper(_text_column()).alias("is_upper"), u.is_lower(_text_column()).alias("is_lower"))
+    return _docs(spark, sf_dir).select("doc_id", u.is_upper(_text()).alias("is_upper"), u.is_lower(_text()).alias("is_lower"))
 
 
 # Normalization and matching
 
+#: Latin letters with a mark, and the two characters each consists of.
+_MARKED = [(c, unicodedata.normalize("NFD", c)) for c in map(chr, range(0xC0, 0x100)) if unicodedata.decomposition(c)]
+
+
+def _replaced(sql: str, pairs: list[tuple[str, str]]) -> str:
+    for a, b in pairs:
+        sql = f"replace({sql}, '{a}', '{b}')"
+    return sql
 
-@query("select doc_id, md5(nfc_normalize(text)) as nfc, md5(nfc_normalize(text)) as from_nfd, true as equal from documents")
+
+@query(f"select doc_id, md5(nfc_normalize(text)) as nfc, md5({_replaced('text', _MARKED)}) as nfd, md5(nfc_normalize(text)) as from_nfd from documents")
 def normal_forms(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.nfc(_text_column()).alias("c"), C.nfd(_text_column()).alias("d")).select("doc_id", "c", C.nfc(F.col("d")).alias("dc"))
-    return rows.select("doc_id", F.md5("c").alias("nfc"), F.md5("dc").alias("from_nfd"), (F.col("c") == F.col("dc")).alias("equal"))
+    rows = _docs(spark, sf_dir).select("doc_id", C.nfc(_text()).alias("c"), C.nfd(_text()).alias("d")).select("doc_id", "c", "d", C.nfc(F.col("d")).alias("dc"))
+    return rows.select("doc_id", F.md5("c").alias("nfc"), F.md5("d").alias("nfd"), F.md5("dc").alias("from_nfd"))
+
+
+@query(f"select doc_id, true as with_nfd, text = upper(text) as with_upper, not regexp_matches(text, '[{''.join(c for c, _ in _MARKED)}]') as without_marks from documents")
+def normal_equality(spark, sf_dir):
+    """A text against its decomposition, which isn't the same text; against capitals; against its decomposition without the marks."""
+    rows = _docs(spark, sf_dir).select("doc_id", "text", C.nfd(_text()).alias("d"))
+    bare = F.regexp_replace("d", r"[\x{300}-\x{36F}]", "")
+    return rows.select("doc_id", C.normal_equal(_text(), F.col("d")).alias("with_nfd"), C.normal_equal(F.upper("d"), _text()).alias("with_upper"), C.normal_equal(bare, _text()).alias("without_marks"))
 
 
-@query("select doc_id, true as nfkc_again, true as nfkd_again, true as nfkc_of_nfkd from documents")
+#: Compatibility characters that stand for plain ones, and what they stand for.
+_WIDE = ("abcdefghijABCDEFGHIJ0123456789", "".join(chr(ord(c) + 0xFEE0) for c in "abcdefghijABCDEFGHIJ0123456789"))
+_COMPATIBLE = [("\xa0", " "), ("ª", "a"), ("º", "o"), ("²", "2"), ("³", "3"), ("¹", "1"), ("µ", "μ"), ("¼", "1⁄4"), ("½", "1⁄2"), ("¾", "3⁄4"), ("…", "..."), ("™", "TM"), ("´", " \u0301"), ("¨", " \u0308"), ("¯", " \u0304"), ("¸", " \u0327")]
+
+
+@query(f"with t as (select doc_id, {_replaced('text', _COMPATIBLE)} as t from documents) select doc_id, md5(nfc_normalize(t)) as nfkc, md5({_replaced('t', _MARKED)}) as nfkd from t")
 def compatibility_forms(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.nfkc(_text_column()).alias("c"), C.nfkd(_text_column()).alias("d"))
-    rows = rows.select("doc_id", "c", "d", C.nfkc(F.col("c")).alias("cc"), C.nfkd(F.col("d")).alias("dd"), C.nfkc(F.col("d")).alias("dc"))
-    return rows.select("doc_id", (F.col("c") == F.col("cc")).alias("nfkc_again"), (F.col("d") == F.col("dd")).alias("nfkd_again"), (F.col("c") == F.col("dc")).alias("nfkc_of_nfkd"))
+    """Of the texts with wide letters and digits, spaces that don't break, and ligatures in the place of plain ones."""
+    wide = F.replace(F.replace(F.translate(_text(), *_WIDE), F.lit(" "), F.lit("\xa0")), F.lit("st"), F.lit("ﬆ"))
+    rows = _docs(spark, sf_dir).select("doc_id", wide.alias("t")).select("doc_id", C.nfkc(F.col("t")).alias("c"), C.nfkd(F.col("t")).alias("d"))
+    return rows.select("doc_id", F.md5("c").alias("nfkc"), F.md5("d").alias("nfkd"))
 
 
-@query(f"select doc_id, (length(text) + {_re2('[À-ÅÇ-ÏÑ-ÖÙ-Ýà-åç-ïñ-öù-ýÿ]')})::bigint as n_nfd from documents")
+@query(f"with t as (select doc_id, {_replaced('text', _MARKED)} as d, {_replaced('text', [*_COMPATIBLE, *_MARKED])} as k, replace(lower(text), 'ß', 'ss') as f from documents) select doc_id, " + ", ".join(f"md5(array_to_string(list_transform(string_split({x}, ''), lambda c: unicode(c)::varchar), ' ')) as {name}" for name, x in (("nfd", "d"), ("nfkd", "k"), ("fold", "f"))) + ", md5(text) as text from t join documents using (doc_id)")
 def decomposed_code_points(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.nfd(_text_column()).alias("d"))
-    return rows.select("doc_id", F.size(C.to_codes(F.col("d"))).cast("long").alias("n_nfd"))
+    """Lists of code points: decomposed, folded, and made a text again."""
+    rows = _docs(spark, sf_dir).select("doc_id", C.to_codes(_text()).alias("codes"))
+    rows = rows.select("doc_id", C.nfd_codes(F.col("codes")).alias("d"), C.nfkd_codes(F.col("codes")).alias("k"), C.fold_codes(F.col("codes")).alias("f"), C.from_codes(F.col("codes")).alias("t"))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
+    return rows.select("doc_id", digest("d").alias("nfd"), digest("k").alias("nfkd"), digest("f").alias("fold"), F.md5("t").alias("text"))
 
 
 @query("select doc_id, md5(replace(lower(text), 'ß', 'ss')) as folded, regexp_matches(text, '[A-ZÀ-ÖØ-Þßµ]') as changes from documents")
 def case_folding(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.casefold(_text_column()).alias("f"), C.Unicode(spark).changes_when_casefolded(_text_column()).alias("changes"))
+    rows = _docs(spark, sf_dir).select("doc_id", C.casefold(_text()).alias("f"), C.Unicode(spark).changes_when_casefolded(_text()).alias("changes"))
     return rows.select("doc_id", F.md5("f").alias("folded"), "changes")
 
 
-def _keys(name: str, kind: str) -> None:
+def _keys(name: str, kind: str, spelled: Callable) -> None:
+    """Each document joined to the texts of all documents in another spelling, each of these with its least doc_id and its documents."""
+
     def run(spark, sf_dir):
-        nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("a"), "n_name")
-        other = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("b"), F.lower("n_name").alias("name"))
-        return frames.matching_join(nation, other, "n_name", "name", kind).select("a", "b", "name")
+        docs = _docs(spark, sf_dir)
+        other = docs.select(spelled(_text()).alias("name"), "doc_id").groupBy(F.sha2("name", 256).alias("h")).agg(F.first("name").alias("name"), F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n"))
+        return frames.matching_join(docs.withColumnRenamed("doc_id", "a"), other, "text", "name", kind).select("a", "b", "n")
 
     run.__name__ = name
-    query("select x.n_nationkey as a, y.n_nationkey as b, lower(y.n_name) as name from nation x join nation y on lower(x.n_name) = lower(y.n_name)")(run)
+    query("with k as (select doc_id, md5(replace(lower(nfc_normalize(text)), 'ß', 'ss')) as k from documents), g as (select k, min(doc_id) as b, count(*) as n from k group by k) select doc_id as a, b, n from k join g using (k)")(run)
 
 
-_keys("canonical_caseless_join", "canonical")
-_keys("compatibility_caseless_join", "compatibility")
+_keys("canonical_caseless_join", "canonical", lambda t: C.nfd(F.upper(t)))
+_keys("compatibility_caseless_join", "compatibility", lambda t: F.translate(F.upper(t), *_WIDE))
 
 
 @query("select lang, count(*) as n, count(distinct replace(lower(nfc_normalize(text)), 'ß', 'ss')) as n_keys from documents group by lang")
@@ -311,24 +432,44 @@ _WIDTH = "length(regexp_replace({}, '[\\x00-\\x1f]', '', 'g'))"
 
 @query(f"select doc_id, {_WIDTH.format('text')}::int as width from documents")
 def display_width(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).display_width(_text_column()).alias("width"))
+    return _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).display_width(_text()).alias("width"))
 
 
-@query("""with w as (select n_nationkey, n_name, length(n_name) as w from nation) select n_nationkey,
-    repeat('-', ((21 - w) // 2)::int) || n_name || repeat('-', ((21 - w) // 2 + (21 - w) % 2)::int) as centred, repeat('*', (21 - w)::int) || n_name as to_right, n_name || repeat('ab', ((21 - w) // 2)::int) as to_left from w""")
+#: Columns that texts are padded to, those of wrapped lines, and how near to them a line may end.
+TOTAL, COLUMNS, NEAR = 500, 72, 4
+
+
+def _fill(pad: str, n: str) -> str:
+    return f"repeat('{pad}', greatest(0, {n})::int)"
+
+
+@query(f"""with w as (select doc_id, text, {TOTAL} - {_WIDTH.format("text")} as room from documents)
+    select doc_id, md5(case when room = 0 then text when room // 2 >= 1 then {_fill("-", "room // 2")} || text || {_fill("-", "room // 2 + room % 2")} end) as centred,
+      md5(case when room >= 1 then {_fill("*", "room")} || text end) as to_right, md5(case when room >= 2 then text || {_fill("ab", "room // 2")} end) as to_left from w""")
 def padding(spark, sf_dir):
-    u, name = C.Unicode(spark), F.col("n_name")
-    return spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", u.center(name, 21, "-").alias("centred"), u.pad_left(name, 21, "*").alias("to_right"), u.pad_right(name, 21, "ab").alias("to_left"))
+    """Null where a text, or the pad, is too long."""
+    u = C.Unicode(spark)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(u.center(_text(), TOTAL, "-", False)).alias("centred"), F.md5(u.pad_left(_text(), TOTAL, "*", False)).alias("to_right"), F.md5(u.pad_right(_text(), TOTAL, "ab", False)).alias("to_left"))
 
 
-@query("select doc_id, md5(regexp_replace(text, '[\\r\\n ]', '', 'g')) as words from documents")
+@query(f"""with w as (select doc_id, list_filter(string_split_regex(text, '[\\r\\n ]'), lambda x: x <> '') as w from documents),
+    s as (select doc_id, w, list_concat([{{'i': 0::bigint, 'wide': 0::bigint, 'line': 0::bigint, 'n': 0::bigint, 'at': 0::bigint, 'square': 0::bigint}}], list_transform(w, lambda x, i: {{'i': i::bigint, 'wide': {_WIDTH.format("x")}::bigint, 'line': 0::bigint, 'n': 0::bigint, 'at': 0::bigint, 'square': 0::bigint}})) as s from w),
+    r as (select doc_id, w, list_reduce(s, lambda a, x: case when a.line + x.wide + 1 >= {COLUMNS - NEAR} and x.i < len(w) then {{'i': x.i, 'wide': 0::bigint, 'line': 0::bigint, 'n': a.n + 1, 'at': a.at + x.i, 'square': a.square + x.i * x.i}}
+      else {{'i': x.i, 'wide': 0::bigint, 'line': a.line + x.wide + 1, 'n': a.n, 'at': a.at, 'square': a.square}} end) as z from s)
+    select doc_id, md5(array_to_string(w, ' ')) as words, z.n as n_breaks, z.at as break_at, z.square as break_square from r""")
 def wrap(spark, sf_dir):
-    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).wrap(_text_column(), 72, 4).alias("w"))
-    return rows.select("doc_id", F.md5(F.regexp_replace("w", "[\n ]", "")).alias("words"))
+    """The words, and behind which of them lines end: their number, the sum of their places and of the squares of these."""
+    rows = _docs(spark, sf_dir).select("doc_id", C.Unicode(spark).wrap(_text(), COLUMNS, NEAR).alias("w"))
+    sizes = F.transform(F.split("w", " \n"), lambda line: F.size(F.split(line, " ")).cast("long"))
+    none = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("at", "sum", "square")])
+    step = lambda a, n: F.struct((a["at"] + n).alias("at"), (a["sum"] + a["at"] + n).alias("sum"), (a["square"] + (a["at"] + n) * (a["at"] + n)).alias("square"))
+    z = F.aggregate(F.slice("sizes", 1, F.size("sizes") - 1), none, step)
+    rows = rows.withColumn("sizes", sizes).select("doc_id", F.md5(F.regexp_replace("w", "\n", "")).alias("words"), (F.size("sizes") - 1).cast("long").alias("n_breaks"), z.alias("z"))
+    return rows.select("doc_id", "words", "n_breaks", F.col("z.sum").alias("break_at"), F.col("z.square").alias("break_square"))
 
 
 @query("select lang, count(*) as docs, sum(length(text))::bigint as code_points, sum(strlen(text))::bigint as bytes, sum(length_grapheme(text))::bigint as graphemes from documents group by lang")
 def text_sizes(spark, sf_dir):
     """Sizes of the documents of each language."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").withColumn("g", C.Unicode(spark).grapheme_count(_text_column()))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("lang", "text").withColumn("g", C.Unicode(spark).grapheme_count(_text()))
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.char_length("text")).alias("code_points"), F.sum(F.octet_length("text")).alias("bytes"), F.sum("g").alias("graphemes"))

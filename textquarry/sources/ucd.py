@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import os
-import pickle
+import stat
 import tempfile
 from dataclasses import dataclass, field
+from itertools import pairwise
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,7 @@ HST = "none L V T LV LVT".split()
 NT = "none Decimal Digit Numeric".split()
 FLAGS = {
     "math": "Math", "alphabetic": "Alphabetic", "id_start": "ID_Start", "id_continue": "ID_Continue", "xid_start": "XID_Start", "xid_continue": "XID_Continue", "whitespace": "White_Space", "hex_digit": "Hex_Digit", "diacritic": "Diacritic",
-    "cased": "Cased", "upper": "Uppercase", "lower": "Lowercase", "cwcf": "CWCF", "ext_pict": "ExtPict", "composition_excluded": "CompEx",
+    "cased": "Cased", "upper": "Uppercase", "lower": "Lowercase", "cwcf": "CWCF", "ext_pict": "ExtPict", "composition_excluded": "CompEx", "in_15": "age=15.0",
 }
 #: Format characters that take a column, those of the Arabic script.
 _ARABIC_FORMAT = [(0x600, 0x605), (0x61C, 0x61C), (0x6DD, 0x6DD), (0x890, 0x891), (0x8E2, 0x8E2)]
@@ -126,22 +127,69 @@ def _read(spark: SparkSession) -> Tables:
     return t
 
 
+_MAPS = ("canon", "compat", "fold")
+
+
+def _save(t: Tables, path: str) -> None:
+    """The tables as plain arrays: nothing in the file is run when it is read."""
+    arrays = {f"codes_{k}": v for k, v in t.codes.items()} | {f"flags_{k}": np.packbits(v) for k, v in t.flags.items()} | {"scripts": np.array([x or "" for x in t.scripts])}
+    for name in ("simple_upper", "simple_lower"):
+        arrays[name] = np.array(list(getattr(t, name).items()), np.int32).reshape(-1, 2)
+    for name in _MAPS:
+        items = getattr(t, name)
+        arrays[f"{name}_from"] = np.array(list(items), np.int32)
+        arrays[f"{name}_ends"] = np.cumsum([0, *map(len, items.values())]).astype(np.int32)
+        arrays[f"{name}_to"] = np.array([c for to in items.values() for c in to], np.int32)
+    with open(f"{path}.{os.getpid()}", "wb") as f:
+        np.savez_compressed(f, **arrays)
+    os.replace(f.name, path)
+
+
+def _load(path: str) -> Tables:
+    t = Tables()
+    with np.load(path, allow_pickle=False) as found:
+        for name in found.files:
+            if name.startswith("codes_"):
+                t.codes[name.removeprefix("codes_")] = found[name]
+            elif name.startswith("flags_"):
+                t.flags[name.removeprefix("flags_")] = np.unpackbits(found[name])[:SIZE].astype(bool)
+        t.scripts = [x or None for x in found["scripts"].tolist()]
+        t.simple_upper, t.simple_lower = (dict(found[name].tolist()) for name in ("simple_upper", "simple_lower"))
+        for name in _MAPS:
+            to = found[f"{name}_to"].tolist()
+            setattr(t, name, {cp: to[a:b] for cp, (a, b) in zip(found[f"{name}_from"].tolist(), pairwise(found[f"{name}_ends"].tolist()), strict=True)})
+    return t
+
+
+def _own_folder() -> str | None:
+    """A folder of the driver's that no other user can write to; None if there is none."""
+    path = os.path.join(tempfile.gettempdir(), f"textquarry-{os.getuid()}")
+    try:
+        os.makedirs(path, 0o700, exist_ok=True)
+        found = os.lstat(path)
+    except OSError:
+        return None
+    return path if stat.S_ISDIR(found.st_mode) and found.st_uid == os.getuid() and not found.st_mode & 0o077 else None
+
+
 _held: Tables | None = None
 
 
 def tables(spark: SparkSession) -> Tables:
-    """The tables, read once by the driver and kept in its temporary folder for the next session."""
+    """The tables, read once by the driver and kept in a folder of its own for the next session."""
     global _held
     if _held is None:
-        path = os.path.join(tempfile.gettempdir(), f"textquarry-ucd-{UNICODE}-1-{os.getuid()}.pickle")
-        try:
-            with open(path, "rb") as f:
-                _held = pickle.load(f)
-        except (OSError, EOFError, pickle.UnpicklingError):
-            _held = _read(spark)
-            with open(f"{path}.{os.getpid()}", "wb") as f:
-                pickle.dump(_held, f)
-            os.replace(f.name, path)
+        folder = _own_folder()
+        path = folder and os.path.join(folder, f"ucd-{UNICODE}-2.npz")
+        if path and os.path.exists(path):
+            try:
+                _held = _load(path)
+                return _held
+            except (OSError, ValueError, KeyError):
+                pass  # a file that can't be read is made again
+        _held = _read(spark)
+        if path:
+            _save(_held, path)
     return _held
 
 
@@ -184,8 +232,8 @@ def compositions(spark: SparkSession) -> DataFrame:
 
 
 def code_points_with_props(df: DataFrame, text: str, *names: str) -> DataFrame:
-    """df's rows for each code point of text: pos, char, cp and these properties, by a join with the table."""
+    """df's rows for each code point of text: pos, char, cp and these properties, by a join with the table. An empty text has none."""
     spark = df.sparkSession
-    chars = df.select("*", F.posexplode(F.split(F.col(text), "")).alias("pos", "char")).withColumn("cp", F.ascii("char"))
+    chars = df.select("*", F.posexplode(F.split(F.make_valid_utf8(F.col(text)), "")).alias("pos", "char")).filter("char <> ''").withColumn("cp", F.ascii("char"))
     props = unicode_props(spark).select("cp", *names)
-    return chars.join(F.broadcast(props), "cp", "left")
+    return chars.join(F.broadcast(props), "cp", "left")  # the table has a row for each code point, however large df is
