@@ -79,14 +79,12 @@ def characters(text: Column) -> Column:
 
 def to_codes(text: Column) -> Column:
     """The code points as an array of numbers."""
-    return F.transform(characters(text), lambda c: F.ascii(c))
+    return _arrow("array<int>", kernels.codes_of)(valid(text))
 
 
 def from_codes(codes: Column) -> Column:
     """The text of an array of code points; what can't be in a text becomes U+FFFD."""
-    fit = F.transform(codes, lambda c: F.when((c >= 0) & (c < 0xD800) | (c > 0xDFFF) & (c < ucd.SIZE), c).otherwise(0xFFFD))
-    digits = F.array_join(F.transform(fit, lambda c: F.lpad(F.hex(c), 8, "0")), "")
-    return F.when(codes.isNotNull(), F.decode(F.unhex(F.concat(F.lit("0000FEFF"), digits)), "UTF-32"))
+    return _arrow("string", kernels.text_of)(codes.cast("array<int>"))
 
 
 def nfd_codes(codes: Column) -> Column:

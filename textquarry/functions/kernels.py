@@ -173,6 +173,27 @@ def code_points(flat: Flat) -> pa.ListArray:
     return lists(counts, pa.StructArray.from_arrays(fields, ["code", "len", "offset"]), flat.null)
 
 
+def codes_of(texts: pa.Array) -> pa.ListArray:
+    """The code points of each text as numbers."""
+    flat = flatten(texts)
+    own = np.ones(len(flat.codes), bool)
+    own[flat.heads] = False
+    return lists(np.diff(flat.heads) - 1, pa.array(flat.codes[own], pa.int32()), flat.null)
+
+
+def text_of(codes: pa.ListArray) -> pa.StringArray:
+    """The texts of lists of code points; what can't be in a text, a null too, becomes U+FFFD."""
+    null = codes.is_null().to_numpy(zero_copy_only=False)
+    sizes = np.where(null, 0, codes.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    found = codes.flatten().cast(pa.int64()).fill_null(-1).to_numpy(zero_copy_only=False)
+    found = np.where((found >= 0) & (found < 0xD800) | (found > 0xDFFF) & (found < 0x110000), found, 0xFFFD)
+    data = found.astype("<u4").tobytes().decode("utf-32-le").encode()
+    bytes_before = np.concatenate([[0], np.cumsum(1 + (found > 0x7F) + (found > 0x7FF) + (found > 0xFFFF))])
+    ends = bytes_before[np.concatenate([[0], np.cumsum(sizes)])].astype("<i4")
+    there = pa.py_buffer(np.packbits(~null, bitorder="little")) if null.any() else None
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(ends), pa.py_buffer(data), there)
+
+
 def columns_taken(codes: np.ndarray, breaks: np.ndarray, width: np.ndarray) -> np.ndarray:
     """At one code point of each grapheme the columns it takes: of the first code point with a width, or what a variation selector after it says."""
     w = width[codes].astype("int64")
@@ -228,8 +249,8 @@ def wrap(flat: Flat, columns: int, threshold: int, breaks_of, width: np.ndarray)
     out[(to[:-1] + size + 1)[broken & ~final]] = 10
     from_ = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
     out[np.repeat(to[:-1] - start, size) + from_] = flat.data[from_]
-    made = pa.StringArray.from_buffers(len(flat.null), pa.py_buffer(to[of_text].astype("<i4")), pa.py_buffer(out))
-    return pa.array(made.to_pylist(), pa.string(), mask=flat.null) if flat.null.any() else made
+    there = pa.py_buffer(np.packbits(~flat.null, bitorder="little")) if flat.null.any() else None
+    return pa.StringArray.from_buffers(len(flat.null), pa.py_buffer(to[of_text].astype("<i4")), pa.py_buffer(out), there)
 
 
 def _mark_bad(error: UnicodeDecodeError):
