@@ -14,27 +14,46 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules reject go, and frequent lines from the others' texts; n_chars counts what is there then."""
+    """Documents that the rules reject go, and frequent lines from the others' texts; n_chars counts what is there then.
+
+    A null text is empty and goes; a null source is a source of its own; of documents with one line that with the least doc_id
+    keeps it; repeated rows share a verdict and stay as often as they are there. An empty table gives an empty one.
+    """
     return _counted(quality.keep_good(docs))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group stays."""
+    """The document with the least id of each group stays.
+
+    Rows that repeat a doc_id are documents of their own, a null doc_id comes last; of rows that repeat doc_id and text the
+    least as JSON stays. Null texts, and texts without words, are one group. An empty table gives an empty one.
+    """
     return jaccard.keep_first(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    A null or empty text holds none, and a null or empty item is in none; repeated rows go or stay together; a null doc_id is as
+    any. Either table may be empty.
+    """
     return decontamination.drop_leaking(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are replaced in the texts, and n_chars counts what is there then."""
+    """Secrets are replaced in the texts, and n_chars counts what is there then.
+
+    A null text stays null, with its n_chars; spans that touch or overlap are one; all rows stay, repeated ones too.
+    """
     return _counted(secrets.redact(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of what is left, with their sequences and offsets."""
+    """The pieces of what is left, with their sequences and offsets.
+
+    A null text is the end id alone; rows that repeat a doc_id are documents of their own; a null doc_id stays null; pieces of
+    one length may change places. An empty table gives no rows.
+    """
     return packing.pack_documents(docs, vocabulary())
 
 
