@@ -858,3 +858,27 @@ def test_pipeline_by_stages(spark, docs):
             found = {r["doc_id"] for r in secrets.scan_secrets(before).filter(F.size("found") > 0).collect()}
             assert {d for d in texts if texts[d] != after[d]} == found
     check_packed(now.toPandas(), 4096)
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Nulls, repeats, near copies, long and ill-formed texts, and columns with names that operators use, through all stages."""
+    import corpus_pipeline
+
+    base, rng = "/root/testdata/sf0.001", random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    good = [" ".join(word() for _ in range(60)) for _ in range(6)]
+    rows = [(1, good[0]), (1, good[0]), (1, good[1]), (2, good[0] + " end"), (None, good[2]), (None, good[3]), (3, None), (4, ""), (5, " \n "), (6, good[4] + " token=abcdef123456"), (7, " ".join(word() for _ in range(30_000))), (8, good[5])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit(None).cast("string"), "n_chars": F.char_length("text").cast("long"), "content": F.lit("x"), "places": F.lit(1), "sig": F.lit(2.5)})
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 8, F.concat(F.col("text").cast("binary"), F.lit(b" \xff\xe1\x80").cast("binary")).cast("string")).otherwise(F.col("text")))
+    now = docs
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        now = shared.materialize(stage(spark, now, base), "odd")
+        assert now.columns == docs.columns
+    left = sorted((str(r["doc_id"]), r["text"]) for r in now.select("doc_id", F.make_valid_utf8("text").alias("text")).collect())
+    assert left == sorted([("1", good[0]), ("1", good[1]), ("None", good[2]), ("None", good[3]), ("6", good[4] + " [SECRET]"), ("7", rows[10][1]), ("8", good[5] + " ��")])
+    packed = corpus_pipeline.STAGES[4][1](spark, now, base).toPandas()
+    check_packed(packed, 4096)
+    assert packed["doc_id"].isna().sum() == 2 and (packed["doc_id"] == 7).sum() > 20
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, empty(docs), base)
+        assert out.count() == 0 and (stage is corpus_pipeline.pack or out.columns == docs.columns)

@@ -211,4 +211,5 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 
 def op3_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
+    """A row for each passage of a benchmark item in a document. Odd rows as in find_leaks."""
     return find_leaks(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("content")

@@ -337,6 +337,7 @@ def keep_first(docs: DataFrame, text: str = "text", key: str = "doc_id", **optio
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
+    """A row for each document: class_id, n_links, n_copies. Odd rows as in jaccard_join."""
     return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("content")
 
 

@@ -136,6 +136,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
 
 
 def op6_license_scans(spark, sf_dir: str) -> DataFrame:
+    """A row for each document: its words, its phrases, labels and score. Odd rows as in scan_licenses."""
     found = scan_licenses(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     names = F.array(*[F.lit(label) for _, label in PHRASES])
     base = F.array_distinct(F.transform("places", lambda p: F.get(names, p["rank"])))

@@ -350,10 +350,12 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = 4096, end_id: int
     """Tokenizes the documents and packs their pieces into sequences of at most capacity tokens; one row for each piece.
 
     A null text counts as empty, so its document is the end id alone. Rows that repeat a doc_id are documents of their own,
-    a null doc_id stays null, other columns are left out, and an empty table gives no rows.
+    a null doc_id stays null, other columns are left out, and an empty table gives no rows. Pieces of one length may change
+    places with each other.
     """
     return pack(tokenize_pieces(docs, path, capacity, end_id), capacity, budget)
 
 
 def op10_best_fit_packing(spark, sf_dir: str) -> DataFrame:
+    """A row for each piece with its sequence and offset. Odd rows as in pack_documents."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())

@@ -142,6 +142,7 @@ def keep_good(docs: DataFrame, most: int = MOST_DOCUMENTS, most_share: float = M
 
 
 def op4_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """A row for each document: its counts, the base verdict, kept, and the words in frequent lines. Odd rows as in quality_rules."""
     return quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("content", "text")
 
 

@@ -192,7 +192,8 @@ def _joined(spans: Column) -> Column:
 def scan_secrets(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row: key, and found, all its spans.
 
-    A null text counts as empty; null and repeated keys are kept as they are; other columns are left out.
+    A null text counts as empty; null and repeated keys are kept as they are, and repeated rows have a row each; spans that start
+    at one place stand in the order of their kinds; other columns are left out; an empty table gives no rows.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.col(text).cast("string").alias("text"))
     return rows.select("doc_id", secret_spans(F.col("text")).alias("found"))
@@ -241,6 +242,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataF
 
 
 def op1_secret_scans(spark, sf_dir: str) -> DataFrame:
+    """A row for each document: the counts of the base kinds, their digest, and all spans. Odd rows as in scan_secrets; an empty table gives no rows."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     base = F.filter("found", lambda s: s["rank"] < len(BASE))
     counts = [F.size(F.filter("found", _is(r))).cast("long").alias(f"n_{kind}") for r, (kind, *_) in enumerate(BASE)]

@@ -230,5 +230,6 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
 
 def op7_token_files(spark, sf_dir: str) -> DataFrame:
+    """A row for each document, read back from the files. Odd rows as in write_token_files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return read_token_files(write_token_files(docs, shared.new_folder(spark, "op7"), vocabulary(), end_id=2))

@@ -103,6 +103,7 @@ def filter_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]
 
 
 def op9_url_filters(spark, sf_dir: str) -> DataFrame:
+    """A row for each page: host, path, rule, listed and verdict. Odd rows as in filter_urls."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return filter_urls(pages, listed_urls(pages))
 

@@ -471,6 +471,7 @@ def pages_to_warc(pages: DataFrame, folder: str, **columns) -> DataFrame:
 
 
 def op2_arc_to_warc(spark, sf_dir: str) -> DataFrame:
+    """A row for each page, read back from the WARC files. Odd rows as in pages_to_warc."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     return pages_to_warc(pages, shared.new_folder(spark, "op2")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
