@@ -34,6 +34,22 @@ def empty(df):
     return df.filter("false")
 
 
+def test_tables_on_the_way_are_deleted(spark):
+    import os
+
+    there = lambda df: os.path.exists(df.stored_at.removeprefix("file:"))
+    kept, inner = shared.materialize(spark.range(3), "kept"), []
+
+    def work():
+        inner.append(shared.materialize(spark.range(5), "inner"))
+        return inner[0].filter("id > 2")
+
+    out = shared.written(work, "out")
+    assert out.count() == 2 and there(out) and there(kept) and not there(inner[0])
+    shared.discard(out)
+    assert not there(out) and there(kept) and kept.count() == 3
+
+
 # Secrets
 
 

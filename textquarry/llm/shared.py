@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows that are Python objects at a time.
 ROWS = 2048
+#: The tables that materialize has written and nothing has deleted.
+_made: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +46,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark.sparkContext._jvm.System.gc()  # lets the cleaner delete the shuffle files that led here
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = path
+    _made.append(path)
     return out
 
 
@@ -56,11 +59,23 @@ def discard(*tables: DataFrame) -> None:
     """Deletes tables that materialize wrote; nothing may read them, or what was derived from them and isn't written, after that."""
     for df in tables:
         _delete(df.sparkSession, df.stored_at)
+        _made.remove(df.stored_at)
+
+
+def written(work, name: str) -> DataFrame:
+    """materialize(work()), after which all tables that were written on the way are deleted."""
+    before = len(_made)
+    out = materialize(work(), name)
+    for path in _made[before:-1]:
+        _delete(out.sparkSession, path)
+    del _made[before:-1]
+    return out
 
 
 def clear(spark: SparkSession) -> None:
     """Deletes all intermediate tables and files of this application, whose results must have been written or read by then."""
     _delete(spark, _own_dir(spark))
+    _made.clear()
 
 
 def map_lists(df: DataFrame, work, kinds: str) -> DataFrame:
