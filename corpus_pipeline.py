@@ -64,8 +64,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet in the shared folder and read again."""
+    """All stages over documents, each written as Parquet in the shared folder and read again; what a stage leaves there besides is deleted."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    last = None
     for n, (_, stage) in enumerate(STAGES):
-        docs = shared.materialize(stage(spark, docs, sf_dir), f"stage-{n}")
+        docs = shared.written(lambda stage=stage, docs=docs: stage(spark, docs, sf_dir), f"stage-{n}")
+        if last is not None:
+            shared.discard(last)
+        last = docs
     return docs

@@ -243,6 +243,32 @@ def test_tables_like_pythons(spark):
     assert [c for c in known if ucd.HST[t.codes["hst"][c]] != syllable(c)] == []
 
 
+@pytest.mark.parametrize("cjk", [False, True])
+def test_widths_of_code_points_by_rule(spark, cjk):
+    """The rules from the last to the first, by Python's categories and widths, which know the characters of 15.1."""
+    inside = lambda c, *ranges: any(a <= c <= b for a, b in ranges)
+
+    def rule(c):
+        kind, wide = unicodedata.category(chr(c)), unicodedata.east_asian_width(chr(c))
+        if c in (8, 0x7F):
+            return -1
+        if c == 0xAD or 0x20 <= c < 0x7F:
+            return 1
+        if inside(c, (0x1F1E6, 0x1F200), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x2FFFD), (0x30000, 0x3FFFD), (0x2E3A, 0x2E3A)):
+            return 2
+        if c < 0x20 or inside(c, (0x80, 0x9F), (0x2028, 0x2029), (0x1160, 0x11FF), (0xD7B0, 0xD7FF), (0x2060, 0x206F), (0xFFF0, 0xFFF8), (0xE0000, 0xE0FFF)):
+            return 0
+        if c == 0x2E3B:
+            return 3
+        if kind in ("Mn", "Me", "Mc") or kind == "Cf" and not unicodedata.name(chr(c)).startswith("ARABIC"):
+            return 0
+        return 2 if wide in "WF" or cjk and wide == "A" else 1
+
+    found, t = ucd.tables(spark).width(cjk), ucd.tables(spark)
+    known = [c for c in range(ucd.SIZE) if unicodedata.category(chr(c)) not in ("Cn", "Co", "Cs") and t.flags["wide"][c] == (unicodedata.east_asian_width(chr(c)) in "WF")]
+    assert len(known) > 149_000 and [hex(c) for c in known if found[c] != rule(c)] == []
+
+
 def test_tables_are_kept_as_plain_arrays(spark, tmp_path):
     t = ucd.tables(spark)
     ucd._save(t, str(tmp_path / "t.npz"))

@@ -151,8 +151,8 @@ def grapheme_rows(spark, sf_dir):
     return out.withColumn("pos", F.col("pos").cast("long"))
 
 
-#: Neighbours of a character: a letter, Hangul of each kind, a flag letter, a family without its end.
-_CONTEXTS = {"after_a": ("a", ""), "before_a": ("", "a"), "after_l": ("ᄀ", ""), "after_lv": ("가", ""), "after_lvt": ("각", ""), "after_flag": ("\U0001f1e6", ""), "before_extend": ("", "\u0301")}
+#: Neighbours of a character: a letter, Hangul of each kind, a flag letter, a family without its end, Devanagari letters and the sign that joins them.
+_CONTEXTS = {"after_zwj": ("\U0001f469\u200d", ""), "before_zwj": ("", "\u200d\U0001f469"), "after_virama": ("क\u094d", ""), "before_virama": ("", "\u094dक"), "after_a": ("a", ""), "before_a": ("", "a"), "after_l": ("ᄀ", ""), "after_lv": ("가", ""), "after_lvt": ("각", ""), "after_flag": ("\U0001f1e6", ""), "before_extend": ("", "\u0301")}
 
 
 @query("select cp::int as cp, " + ", ".join(f"length_grapheme('{a}' || chr(cp::int) || '{b}')::bigint as {name}" for name, (a, b) in _CONTEXTS.items()) + " from range(1, 1114112) r(cp) where cp not between 55296 and 57343 and regexp_matches(chr(cp::int), '[\\p{L}\\p{M}\\p{N}\\p{P}\\p{S}\\p{Z}]')")
