@@ -307,7 +307,7 @@ def test_joins_nulls_and_streams(spark, u, tmp_path):
     assert {tuple(r) for r in spark.table("measured").collect()} == {("👩‍🔬", 1, 2), ("abc", 3, 3)}
 
 
-def test_sql_names(spark):
+def test_sql_names(spark, rules):
     from textquarry.functions.sql import register
 
     register(spark)
@@ -318,6 +318,8 @@ def test_sql_names(spark):
     assert row[:] == (1, 1, 1, 1, "------w😊w", "abc******", "--123---", "123", None)
     assert spark.sql("select words('a b')[2].text, graphemes('e\u0301a')[0].len, code_points(X'61FF')[1].code, grapheme_breaks('ab')").first()[:] == ("b", 3, 0xFFFD, [True, True])
     assert spark.sql("select grapheme_count(cast(X'61FF62' as string)), casefold(null), words(null)").first()[:] == (3, None, None)
+    rows = spark.sql("select wrap_text('a bc de', id, 1) as w from range(1, 8) union all select wrap_text(null, 3, 1) union all select wrap_text('a', null, 1)").collect()
+    assert [r["w"] for r in rows] == [*(wrap_by_words("a bc de", n, 1, rules) for n in range(1, 8)), None, None]
 
 
 def test_every_oracle_has_its_query():

@@ -244,6 +244,22 @@ class Unicode:
         grapheme = lambda c: kernels.grapheme_breaks(c, sent.value[0], sent.value[1], sent.value[3])
         return _arrow("string", lambda texts: kernels.wrap(kernels.flatten(texts), columns, threshold, grapheme, taken.value))(valid(text))
 
+    def wrap_udf(self):
+        """The same as an Arrow function of texts, columns and thresholds, which may differ from row to row."""
+        sent, taken = self._sent, self._width
+        grapheme = lambda c: kernels.grapheme_breaks(c, sent.value[0], sent.value[1], sent.value[3])
+
+        @F.arrow_udf("string")
+        def run(texts: pa.Array, columns: pa.Array, thresholds: pa.Array) -> pa.Array:
+            out = np.full(len(texts), None, dtype=object)
+            asked = np.array(list(zip(columns.to_pylist(), thresholds.to_pylist(), strict=True)), dtype=object).reshape(-1, 2)
+            for pair in {tuple(x) for x in asked if None not in tuple(x)}:
+                rows = np.flatnonzero((asked == pair).all(axis=1))
+                out[rows] = kernels.wrap(kernels.flatten(texts.take(pa.array(rows))), *pair, grapheme, taken.value).to_pylist()
+            return pa.array(out, pa.string())
+
+        return run
+
     def _padded(self, text: Column, total: int, pad: str, strict: bool, side: str) -> Column:
         width = self.display_width(text)
         t = self._sent.value

@@ -36,6 +36,8 @@ def register(spark: SparkSession, **options) -> None:
     for name, (method, compat) in _NORMAL.items():
         define(name, "t string", "string", f"case when t is not null then reflect('com.ibm.icu.text.Normalizer', '{method}', make_valid_utf8(t), {compat}) end")
     define("casefold", "t string", "string", "case when t is not null then reflect('com.ibm.icu.lang.UCharacter', 'foldCase', make_valid_utf8(t), true) end")
+    spark.udf.register("_wrap_text", u.wrap_udf())
+    define("wrap_text", "t string, columns int, threshold int", "string", "_wrap_text(make_valid_utf8(t), columns, threshold)")
     define("normal_equal", "a string, b string", "boolean", "to_nfc(a) = to_nfc(b)")
     define("canonical_key", "t string", "string", "to_nfd(casefold(to_nfd(t)))")
     define("compatibility_key", "t string", "string", "to_nfkd(casefold(to_nfkd(casefold(to_nfd(t)))))")
