@@ -372,6 +372,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", ke
 
 
 def op8_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
+    """A row for each document: bytes, removed bytes and runs, and a digest of what is left. Odd rows as in remove_repeats."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
