@@ -136,6 +136,7 @@ def keep_good(docs: DataFrame, most: int = MOST_DOCUMENTS, most_share: float = M
     verdicts = _verdicts(docs, most, most_share, least_words, least_share, text, key, host).filter(~F.col("kept") | F.col("places").isNotNull())
     verdicts = verdicts.groupBy(F.col("doc_id").alias("_d"), F.col("content").alias("_c")).agg(F.first("kept").alias("_kept"), F.first("places").alias("_places"))
     found = materialize(verdicts, "changed-or-rejected")
+    found = found.hint("merge")  # it grows with the corpus, so small corpora go the way of large ones
     joined = docs.join(found, docs[key].eqNullSafe(found["_d"]) & (content_of(docs[text]) == found["_c"]), "left").filter(F.coalesce("_kept", F.lit(True)))
     clean = F.when(F.col("_places").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("_places")))
     return joined.withColumn(text, clean).select(*docs.columns)
