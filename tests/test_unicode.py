@@ -1,5 +1,7 @@
+import tracemalloc
 import unicodedata
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -337,3 +339,34 @@ def test_all_words_are_counted(spark, rules, tmp_path):
     got = queries.QUERIES["word_counts"](spark, str(tmp_path)).collect()
     assert {(r["doc_id"], r["word"]): r["n"] for r in got} == want and len(got) == len(want)
     assert want[1, "don't"] == 2 and want[1, "e.g"] == want[1, "3.14"] == want[2, "Straße"] == 1 and want[2, "é"] == 2 and want[3, "plain"] == 2
+
+
+def test_batches_are_worked_on_in_parts(u):
+    """What a batch takes doesn't grow with its texts, and what is much larger than these leaves in several batches."""
+    some = ["Héllo, wörld 3.14 don't \u0301🐻 " * 3000, None, "", "a"]
+    batch = pa.array(some * 20, pa.string())
+    names = {"graphemes": True, "words": True, "code_points": True, "grapheme_count": False, "word_count": False, "grapheme_breaks": False, "display_width": False, "category_counts": False, "flag_counts": False}
+    for run, large in [(u.udf(name).func, large) for name, large in names.items()] + [(C._to_codes().func, True)]:
+        alone = next(run(iter([batch[:4]]))) if large else run(batch[:4])
+        tracemalloc.start()
+        sizes = []
+        for part in run(iter([batch])) if large else [run(batch)]:
+            sizes.append(len(part))
+            first = part[:4].equals(alone) if len(sizes) == 1 else first
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert first and sum(sizes) == len(batch) and most < 80 << 20 and (not large or max(sizes) <= 12)
+
+
+@given(st.lists(st.one_of(st.none(), st.text(max_size=9)), max_size=9), st.integers(1, 20), st.integers(0, 4))
+@settings(max_examples=100, deadline=None)
+def test_parts(texts, limit, skipped):
+    texts = [t if t is None else t.encode("utf-8", "replace").decode() for t in texts]
+    batch = pa.array(texts, pa.string())[skipped:]
+    found = [p.to_pylist() for p in kernels.parts(batch, limit)]
+    assert [t for p in found for t in p] == texts[skipped:] and all(len(p) < 2 or sum(len((t or "").encode()) for t in p) <= limit for p in found)
+
+
+def test_one_ill_formed_text_in_a_batch():
+    data = ["é🐻".encode(), None, b"a\xffb", b"", b"\xe1\x80", "añ".encode()]
+    assert kernels.decoded(pa.array(data, pa.binary())).to_pylist() == [None if x is None else kernels.decode(x) for x in data]
