@@ -370,3 +370,15 @@ def test_parts(texts, limit, skipped):
 def test_one_ill_formed_text_in_a_batch():
     data = ["é🐻".encode(), None, b"a\xffb", b"", b"\xe1\x80", "añ".encode()]
     assert kernels.decoded(pa.array(data, pa.binary())).to_pylist() == [None if x is None else kernels.decode(x) for x in data]
+
+
+def test_keys_take_each_step_once(spark):
+    """A null check at each step would evaluate the steps before it twice, 31 steps for the 5 of a key."""
+    rows = spark.createDataFrame([("a",)], "t string")
+    plan = rows.select(C.compatibility_key(F.col("t")).alias("k"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("com.ibm.icu") == 5
+
+
+def test_groups_that_match(spark):
+    left, right = spark.createDataFrame([("ÉTÉ", 1), ("x", 2), (None, 3)], "t string, a int"), spark.createDataFrame([("été", 5), ("e\u0301te\u0301", 4), (None, 6)], "s string, b int")
+    assert frames.matching_groups_join(left, right, "t", "s", F.min("b"), F.count(F.lit(1))).select("a", "min(b)", "count(1)").collect() == [(1, 4, 2)]

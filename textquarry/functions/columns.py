@@ -32,25 +32,37 @@ def is_latin1(text: Column) -> Column:
     return ~text.rlike(r"[^\x{0}-\x{100}]")
 
 
-def _icu(kind: str, method: str, text: Column, *more) -> Column:
-    """Spark calls the library's static method in the JVM; the result must be a column of its own before joins and aggregates."""
-    return F.when(text.isNotNull(), F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), valid(text), *map(F.lit, more)))
+#: Steps of the ICU library: class, method, and what to ask of it.
+NFC, NFKC, NFD, NFKD = (("text.Normalizer", method, compat) for method in ("compose", "decompose") for compat in (False, True))
+FOLD = ("lang.UCharacter", "foldCase", True)
+CANONICAL, COMPATIBILITY = (NFD, FOLD, NFD), (NFD, FOLD, NFKD, FOLD, NFKD)
+
+
+def _icu(text: Column, *steps: tuple) -> Column:
+    """Spark calls the library's static methods in the JVM, one on the other's result; that must be a column of its own before joins and aggregates.
+
+    Null is asked for once, of the text: asked of a step's result, it would evaluate all steps before once more.
+    """
+    out = valid(text)
+    for kind, method, more in steps:
+        out = F.reflect(F.lit(f"com.ibm.icu.{kind}"), F.lit(method), out, F.lit(more))
+    return F.when(text.isNotNull(), out)
 
 
 def nfc(text: Column) -> Column:
-    return _icu("text.Normalizer", "compose", text, False)
+    return _icu(text, NFC)
 
 
 def nfkc(text: Column) -> Column:
-    return _icu("text.Normalizer", "compose", text, True)
+    return _icu(text, NFKC)
 
 
 def nfd(text: Column) -> Column:
-    return _icu("text.Normalizer", "decompose", text, False)
+    return _icu(text, NFD)
 
 
 def nfkd(text: Column) -> Column:
-    return _icu("text.Normalizer", "decompose", text, True)
+    return _icu(text, NFKD)
 
 
 def normal_equal(a: Column, b: Column) -> Column:
@@ -60,16 +72,16 @@ def normal_equal(a: Column, b: Column) -> Column:
 
 def casefold(text: Column) -> Column:
     """Full case folding."""
-    return _icu("lang.UCharacter", "foldCase", text, True)
+    return _icu(text, FOLD)
 
 
 def canonical_key(text: Column) -> Column:
     """Equal for texts that match without regard to case by canonical equivalence."""
-    return nfd(casefold(nfd(text)))
+    return _icu(text, *CANONICAL)
 
 
 def compatibility_key(text: Column) -> Column:
-    return nfkd(casefold(nfkd(casefold(nfd(text)))))
+    return _icu(text, *COMPATIBILITY)
 
 
 # Lists of code points

@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 from ..sources import ucd
+from . import columns as C
 from .columns import Unicode
 
 #: Functions over whole batches, by their own names.
 BATCHED = ("grapheme_count", "word_count", "display_width", "graphemes", "words", "grapheme_breaks", "code_points")
-_NORMAL = {"to_nfc": ("compose", "false"), "to_nfkc": ("compose", "true"), "to_nfd": ("decompose", "false"), "to_nfkd": ("decompose", "true")}
+#: Steps of the library, one after the other.
+_STEPS = {"to_nfc": (C.NFC,), "to_nfkc": (C.NFKC,), "to_nfd": (C.NFD,), "to_nfkd": (C.NFKD,), "casefold": (C.FOLD,), "canonical_key": C.CANONICAL, "compatibility_key": C.COMPATIBILITY}
 
 
 def _quoted(text: str) -> str:
@@ -33,14 +35,14 @@ def register(spark: SparkSession, **options) -> None:
     def define(name: str, arguments: str, kind: str, body: str) -> None:
         spark.sql(f"create or replace temporary function {name}({arguments}) returns {kind} return {body}")
 
-    for name, (method, compat) in _NORMAL.items():
-        define(name, "t string", "string", f"case when t is not null then reflect('com.ibm.icu.text.Normalizer', '{method}', make_valid_utf8(t), {compat}) end")
-    define("casefold", "t string", "string", "case when t is not null then reflect('com.ibm.icu.lang.UCharacter', 'foldCase', make_valid_utf8(t), true) end")
+    for name, steps in _STEPS.items():
+        body = "make_valid_utf8(t)"
+        for kind, method, more in steps:
+            body = f"reflect('com.ibm.icu.{kind}', '{method}', {body}, {str(more).lower()})"
+        define(name, "t string", "string", f"case when t is not null then {body} end")
     spark.udf.register("_wrap_text", u.wrap_udf())
     define("wrap_text", "t string, columns int, threshold int", "string", "_wrap_text(make_valid_utf8(t), columns, threshold)")
     define("normal_equal", "a string, b string", "boolean", "to_nfc(a) = to_nfc(b)")
-    define("canonical_key", "t string", "string", "to_nfd(casefold(to_nfd(t)))")
-    define("compatibility_key", "t string", "string", "to_nfkd(casefold(to_nfkd(casefold(to_nfd(t)))))")
     define("reverse_code_points", "t string", "string", "array_join(reverse(filter(split(t, ''), c -> c <> '')), '')")
     for name, table in (("simple_upper", u._t.simple_upper), ("simple_lower", u._t.simple_lower)):
         define(name, "t string", "string", f"translate(make_valid_utf8(t), '{''.join(map(chr, table))}', '{''.join(map(chr, table.values()))}')")

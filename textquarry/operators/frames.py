@@ -32,11 +32,21 @@ def with_key(df: DataFrame, text: str, kind: str, name: str = "key") -> DataFram
     return df.withColumn(name, KEYS[kind](F.col(text)))
 
 
+def _hashed(df: DataFrame, text: str, kind: str, name: str) -> DataFrame:
+    """df with the key's SHA-256; a null text has the column's name, which matches nothing. So it is never null, and a join needn't evaluate it once more to ask."""
+    return df.withColumn(name, F.coalesce(F.sha2(KEYS[kind](F.col(text)), 256), F.lit(name)))
+
+
 def matching_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, kind: str = "canonical", how: str = "inner") -> DataFrame:
     """An equi-join of texts that match by the kind of key; the key is computed once for each row.
 
     Rows meet by the key's SHA-256, so that long texts aren't shuffled twice. A null matches nothing.
     """
-    a = left.withColumn("_left_key", F.sha2(KEYS[kind](F.col(left_text)), 256))
-    b = right.withColumn("_right_key", F.sha2(KEYS[kind](F.col(right_text)), 256))
+    a, b = _hashed(left, left_text, kind, "_left_key"), _hashed(right, right_text, kind, "_right_key")
     return a.join(b, F.col("_left_key") == F.col("_right_key"), how).drop("_left_key", "_right_key")
+
+
+def matching_groups_join(left: DataFrame, right: DataFrame, left_text: str, right_text: str, *aggregates: Column, kind: str = "canonical", how: str = "inner") -> DataFrame:
+    """Each row of left with the aggregates over all rows of right whose texts match its text. Texts are neither shuffled nor sorted."""
+    groups = _hashed(right, right_text, kind, "_right_key").groupBy("_right_key").agg(*aggregates)
+    return _hashed(left, left_text, kind, "_left_key").join(groups, F.col("_left_key") == F.col("_right_key"), how).drop("_left_key", "_right_key")
