@@ -372,6 +372,17 @@ def test_one_ill_formed_text_in_a_batch():
     assert kernels.decoded(pa.array(data, pa.binary())).to_pylist() == [None if x is None else kernels.decode(x) for x in data]
 
 
+def test_empty_texts_and_nulls_as_in_sql(spark, tmp_path):
+    """The queries follow their SQL: an empty text is split into one empty string, with the code -1; the sum over no words is null."""
+    spark.createDataFrame([(1, ""), (2, None), (3, "a b")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    of = lambda name: {r[0]: r[1:] for r in queries.QUERIES[name](spark, str(tmp_path)).collect()}
+    words, codes, none = of("word_segments"), of("decomposed_code_points"), "d41d8cd98f00b204e9800998ecf8427e"
+    assert words[1] == (0, none, None, 0) and words[2] == (None,) * 4 and words[3][0] == words[3][2] == 3
+    assert codes[1] == ("6bb61e3b7bce0931da574d19d1d82c88",) * 3 + (none,) and codes[2] == (None,) * 4
+    assert of("cp_iterate") == {1: (1, -1, 0, 0), 3: (3, 227, 3, 3)} and of("wrap")[2] == (None, 0, 0, 0) and of("grapheme_segments")[2] == (None,) * 4
+    assert sorted(map(tuple, queries.QUERIES["grapheme_rows"](spark, str(tmp_path)).filter("doc_id < 3").collect())) == [(1, 0, 0, 0, "")]
+
+
 def test_keys_take_each_step_once(spark):
     """A null check at each step would evaluate the steps before it twice, 31 steps for the 5 of a key."""
     rows = spark.createDataFrame([("a",)], "t string")
